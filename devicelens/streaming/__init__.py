@@ -1,0 +1,6 @@
+"""Incremental entry points.
+
+The source reports are bounded batch queries over tables; none of them reads
+a stream, keeps state across runs or uses event-time windows. This package
+therefore holds no stream operators of its own (see README, "Not built").
+"""
