@@ -119,13 +119,15 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
                           "PARNT_SUPLR_NAME", "PRMRY_UOM", "PROD_SUB_CTGRY_LVL4_DSC",
                           "PRMRY_TO_SELL_DIVISOR", "STNDRD_COST_AMT")
     j = j.join(i, j.DIM_ITEM_E1_CURR_ID == i.i_id, "inner")
-    cus = customer_bill_to(t).withColumnRenamed("DIM_CUST_CURR_ID", "cus_id")
-    j = (j.join(cus, j.DIM_CUST_CURR_ID == cus.cus_id, "left")
-         .where((F.col("BIOMED_FLG") == "Y") | (F.col("BIOMED_ACCT_FLG") == "Y")))
+    # The order-level dimension first: the fact is clustered by its sale id
+    # (order key), so a sort-merge join here needs no new fact shuffle.
     bmd = biomed_dimension(t).select(
         F.col("DIM_BIOMED_SLS_ID"), "REF_NUM", "DEVICE_CD", "ASSET_ID", "REPAIR_TKT_NUM", "TYPE",
         "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2", "RENT_FISC_YR_MTH_NUM")
     j = j.join(bmd, j.SLS_ID == bmd.DIM_BIOMED_SLS_ID, "left")
+    cus = customer_bill_to(t).withColumnRenamed("DIM_CUST_CURR_ID", "cus_id")
+    j = (j.join(cus, j.DIM_CUST_CURR_ID == cus.cus_id, "left")
+         .where((F.col("BIOMED_FLG") == "Y") | (F.col("BIOMED_ACCT_FLG") == "Y")))
     gls = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("gls_id"),
                                   F.col("OBJ_ACCT_CD").alias("GLS_OBJ_ACCT_CD"))
     glc = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("glc_id"))
@@ -192,28 +194,47 @@ def _measures(with_uom_cost: bool) -> list[Column]:
 
 
 def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost: bool = True,
-                 merge_other: bool = False, period_key_unique: bool = True) -> DataFrame:
-    """Aggregated, de-duplicated transactions (the report without the
-    specialist name).
+                 merge_other: bool = False, period_key_unique: bool = True,
+                 specialists: DataFrame | None = None) -> DataFrame:
+    """Aggregated, de-duplicated transactions.
 
     By default the device groups are grouped by their *raw* values and only
     labelled afterwards, so a NULL group and a literal ``Other`` group stay
     separate rows that both print ``Other``; the DISTINCT then merges such a
     pair only when every measure is equal. ``merge_other=True`` groups by
     the label instead (sums the pair).
+
+    ``specialists`` (BILL_TO_CUST_NUM, ACCT_MGR_EMPLY_ID, ACCT_MGR_NAME,
+    distinct) is left-joined to the *lines* and carried as extra group keys.
+    The bill-to number is a group key, so every (group, specialist) has the
+    same lines and sums as the group alone: this equals joining the
+    specialists after the DISTINCT, one row per specialist, without a second
+    shuffle of the aggregated rows. The employee id is dropped after the
+    DISTINCT, so two specialists of one name still give two rows.
     """
     lines = sales_lines(t, min_fiscal_month=min_fiscal_month,
                         period_key_unique=period_key_unique)
     keys = [k for k in KEYS] + ([DIVISOR_KEY] if with_uom_cost else [])
     raw = [] if merge_other else ["RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2"]
+    extra = []
+    if specialists is not None:
+        sp = specialists.select(F.col("BILL_TO_CUST_NUM").alias("sp_bill_to"),
+                                F.col("ACCT_MGR_EMPLY_ID").alias("SP_EMPLY_ID"),
+                                F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
+        lines = lines.join(sp, lines.BILL_TO_CUST_NUM == sp.sp_bill_to, "left")
+        extra = ["SP_EMPLY_ID", "BIOMED_SPECIALIST_NAME"]
+    # One hash partitioning by the output keys serves the GROUP BY (its keys
+    # are a superset) and the DISTINCT (the keys pass through unchanged).
     agg = (lines.repartition(*keys)
-           .groupBy(*keys, *raw)
+           .groupBy(*keys, *raw, *extra)
            .agg(*_measures(with_uom_cost)))
+    measures = [m for m in MEASURES if with_uom_cost or m != "PRIMARY_UOM_COST"]
     out = agg.select(*keys[:13],
                      R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
-                     *keys[13:], *MEASURES if with_uom_cost else
-                     [m for m in MEASURES if m != "PRIMARY_UOM_COST"])
-    return out if merge_other else out.distinct()
+                     *keys[13:], *measures, *extra)
+    if not merge_other:
+        out = out.distinct()
+    return out.drop("SP_EMPLY_ID")
 
 
 def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
@@ -225,11 +246,9 @@ def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
     no UOM cost). A bill-to customer with several specialists repeats its
     rows, once per specialist.
     """
-    tx = transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=with_uom_cost,
-                      merge_other=merge_other, period_key_unique=period_key_unique)
-    br = biomed_rep(t, as_of=as_of).select(F.col("BILL_TO_CUST_NUM").alias("br_bill_to"),
-                                           F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
-    return (tx.join(br, tx.BILL_TO_CUST_NUM == br.br_bill_to, "left").drop("br_bill_to"))
+    return transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=with_uom_cost,
+                        merge_other=merge_other, period_key_unique=period_key_unique,
+                        specialists=biomed_rep(t, as_of=as_of))
 
 
 def publish_view(df: DataFrame, name: str = "BIOMED_SALES_QUERY", global_view: bool = False):
