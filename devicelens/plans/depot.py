@@ -98,6 +98,23 @@ def pool_locations(t: Tables, pattern: str = "%pool%") -> DataFrame:
     return t["clients"].where(F.col("Name").ilike(pattern)).select("ID", "Name").distinct()
 
 
+def locations_like(t: Tables, pattern: str) -> DataFrame:
+    """Distinct (ID, Name) of clients whose name matches ``pattern``."""
+    return pool_locations(t, pattern)
+
+
+def lookup(t: Tables, table: str, predicate, n: int = 100, order_by=None) -> DataFrame:
+    """First ``n`` rows of a logical table matching ``predicate`` (a Column).
+
+    Rows are ordered by ``order_by`` (default: the first column) so the
+    answer does not depend on partitioning; Spark plans this as a top-k
+    (TakeOrderedAndProject), each task keeping at most ``n`` rows.
+    """
+    df = t[table].where(predicate)
+    keys = [order_by] if isinstance(order_by, str) else list(order_by or [df.columns[0]])
+    return df.orderBy(*keys).limit(n)
+
+
 def pool_shipments(t: Tables, *, depots=R.DEPOTS, pattern: str = "%pool%",
                    codes=R.SHIP_CODES) -> DataFrame:
     """Ship events by depot staff whose source is a pool client, counted per
