@@ -51,6 +51,10 @@ def activity_rows(t: Tables, *, start="2024-11-01", end="2024-12-01", depots=R.D
          .select("BarCodeNumber", "EventCode", "SrcID", "DestID", "TimeStamp", "FK_UserId"))
     e = e.join(_codes(t).select("Code"), e.EventCode == F.col("Code"), "inner")
     staff = _staff_at(t, depots)
+    # Keep only events by depot staff *before* the device join's shuffle: a
+    # semi-join stays where it is written (inner joins may be reordered).
+    e = e.join(staff.select(F.col("UserId").alias("staff_user")),
+               e.FK_UserId == F.col("staff_user"), "left_semi")
     e = e.join(staff, e.FK_UserId == staff.UserId, "inner")
     q = t["devices"].select("DeviceCode", F.col("BarCodeNumber").alias("q_barcode"), "Make",
                             "Model", "Owner", "OwnerID", "DeviceType")
@@ -283,6 +287,10 @@ def pm_completions(t: Tables, *, year=2024, month=12, sites=R.PM_SITES) -> DataF
                 & (F.col("TimeStamp") >= ts_lit(start)) & (F.col("TimeStamp") < ts_lit(end)))
          .select("BarCodeNumber", "EventCode", "TimeStamp", "FK_UserId"))
     staff = _staff_at(t, sites).select("UserId", F.col("LocationName").alias("techLocationName"))
+    # Semi-join first (kept in place) so only PM-site staff events go on to
+    # the check-in and device joins.
+    e = e.join(staff.select(F.col("UserId").alias("staff_user")),
+               e.FK_UserId == F.col("staff_user"), "left_semi")
     e = e.join(staff, e.FK_UserId == staff.UserId, "inner")
     e = e.join(_codes(t), e.EventCode == F.col("Code"), "inner")
     return e.select("BarCodeNumber", "EventCode", "Description",

@@ -100,13 +100,31 @@ def biomed_dimension(t: Tables) -> DataFrame:
             .drop("di_code", "tpl_item", "rent_dt"))
 
 
+def period_id_range(t: Tables, min_fiscal_month: str):
+    """(min, max) period id of the fiscal months selected, from the bounded
+    calendar (one small aggregate), or None when none is selected."""
+    lo, hi = (t["period"].where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
+              .agg(F.min("DIM_PERIOD_ID"), F.max("DIM_PERIOD_ID")).first())
+    return None if lo is None else (lo, hi)
+
+
 def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
-                period_key_unique: bool = True) -> DataFrame:
+                period_key_unique: bool = True, derive_date_range: bool = True) -> DataFrame:
     """Fact lines since ``min_fiscal_month`` of biomed orders or biomed
     accounts, with every attribute and classification the report groups by
     (raw device groups kept as RAW_GROUP_LVL_1/2) and the per-line measure
-    inputs."""
+    inputs.
+
+    ``derive_date_range`` adds ``min_id <= DIM_GL_DT_ID <= max_id`` over the
+    selected calendar rows to the fact. It is implied by the calendar join
+    (no other fact row can match), and as a literal range it reaches the
+    fact's scan, where row groups or partitions outside it are skipped.
+    """
     s = t["fact_sales"]
+    if derive_date_range:
+        rng = period_id_range(t, min_fiscal_month)
+        s = (s.where(F.col("DIM_GL_DT_ID").between(F.lit(rng[0]), F.lit(rng[1])))
+             if rng else s.where(F.lit(False)))
     cal = (bounded(t["period"]).where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
            .select(F.col("DIM_PERIOD_ID").alias("cal_id"), *CAL_COLUMNS))
     j = s.join(cal, s.DIM_GL_DT_ID == cal.cal_id, "inner")
