@@ -11,11 +11,13 @@ Shape of :func:`biomed_sales`:
   once on the sale id instead of being re-shuffled by device code;
 * item, customer, GL, transaction-type and manager dimensions: Spark picks
   broadcast or shuffle by size (AQE re-checks at runtime);
-* the 40-key GROUP BY and the DISTINCT over its output share one shuffle:
-  rows are hash-partitioned by the output keys (device-group *labels*, not
-  raw values), a partitioning that satisfies both the aggregate and the
-  DISTINCT, so neither adds an exchange. Partitioning by all output keys
-  keeps a hot customer or order spread over many tasks.
+* the specialist name is attached to the lines (exact, see
+  :func:`transactions`), so no shuffle follows the aggregation except the
+  DISTINCT's;
+* the 40-key GROUP BY keeps map-side partial aggregation (a hot report row
+  is pre-summed per map task); optionally (``single_shuffle``) the lines are
+  hash-partitioned once by the output keys, a partitioning that satisfies
+  both the GROUP BY and the DISTINCT.
 
 Money is summed exactly as DECIMAL and published as DOUBLE.
 """
@@ -213,7 +215,8 @@ def _measures(with_uom_cost: bool) -> list[Column]:
 
 def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost: bool = True,
                  merge_other: bool = False, period_key_unique: bool = True,
-                 specialists: DataFrame | None = None) -> DataFrame:
+                 specialists: DataFrame | None = None,
+                 single_shuffle: bool = False) -> DataFrame:
     """Aggregated, de-duplicated transactions.
 
     By default the device groups are grouped by their *raw* values and only
@@ -229,6 +232,14 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
     specialists after the DISTINCT, one row per specialist, without a second
     shuffle of the aggregated rows. The employee id is dropped after the
     DISTINCT, so two specialists of one name still give two rows.
+
+    Shuffles: by default the GROUP BY is planned with map-side partial
+    aggregation before its exchange, so a report row that aggregates a large
+    share of all lines is summed per map task, never by one task; the
+    DISTINCT then shuffles the (already aggregated, unique) rows once more.
+    ``single_shuffle=True`` instead hash-partitions the lines by the output
+    keys once, which satisfies both the GROUP BY and the DISTINCT (one
+    exchange, no map-side combine) - cheaper when no report row is hot.
     """
     lines = sales_lines(t, min_fiscal_month=min_fiscal_month,
                         period_key_unique=period_key_unique)
@@ -241,11 +252,11 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
                                 F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
         lines = lines.join(sp, lines.BILL_TO_CUST_NUM == sp.sp_bill_to, "left")
         extra = ["SP_EMPLY_ID", "BIOMED_SPECIALIST_NAME"]
-    # One hash partitioning by the output keys serves the GROUP BY (its keys
-    # are a superset) and the DISTINCT (the keys pass through unchanged).
-    agg = (lines.repartition(*keys)
-           .groupBy(*keys, *raw, *extra)
-           .agg(*_measures(with_uom_cost)))
+    if single_shuffle:
+        # One hash partitioning by the output keys serves the GROUP BY (its
+        # keys are a superset) and the DISTINCT (the keys pass through).
+        lines = lines.repartition(*keys)
+    agg = lines.groupBy(*keys, *raw, *extra).agg(*_measures(with_uom_cost))
     measures = [m for m in MEASURES if with_uom_cost or m != "PRIMARY_UOM_COST"]
     out = agg.select(*keys[:13],
                      R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
