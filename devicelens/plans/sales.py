@@ -31,6 +31,7 @@ from devicelens.functions import rules as R
 from devicelens.functions.dates import date_lit, rent_start
 from devicelens.operators.audit import key_multiplicity, union_audits
 from devicelens.operators.joins import bounded
+from devicelens.operators.materialize import checkpointed
 from devicelens.sources.catalog import Tables
 
 CAL_COLUMNS = ("FISC_YR_NUM", "FISC_MTH_NUM", "FISC_YR_MTH_NUM", "CAL_YR_NUM", "CAL_MTH_NUM",
@@ -293,28 +294,32 @@ def publish_view(df: DataFrame, name: str = "BIOMED_SALES_QUERY", global_view: b
 # Smaller reports over the same lines
 # ---------------------------------------------------------------------------
 
-def sales_type_mix(t: Tables, *, min_fiscal_month: str = "202400") -> DataFrame:
+def sales_type_mix(t: Tables, *, min_fiscal_month: str = "202400",
+                   lines: DataFrame | None = None) -> DataFrame:
     """Line count and net sales per sales type and consolidated type."""
-    return (sales_lines(t, min_fiscal_month=min_fiscal_month)
+    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
+    return (lines
             .groupBy("SALES_TYPE", "CONSOL_SALES_TYPE")
             .agg(F.count(F.lit(1)).alias("LINE_COUNT"),
                  _money(F.sum("EXT_NET_SLS_AMT")).alias("NET_SLS")))
 
 
-def gl_measures(t: Tables, *, min_fiscal_month: str = "202400") -> DataFrame:
+def gl_measures(t: Tables, *, min_fiscal_month: str = "202400",
+                lines: DataFrame | None = None) -> DataFrame:
     """Fee and GL measures per fiscal month."""
-    ms = [m for m in _measures(False)]
-    return (sales_lines(t, min_fiscal_month=min_fiscal_month)
-            .groupBy("FISC_YR_MTH_NUM").agg(*ms))
+    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
+    return lines.groupBy("FISC_YR_MTH_NUM").agg(*_measures(False))
 
 
-def uom_cost(t: Tables, *, min_fiscal_month: str = "202400") -> DataFrame:
+def uom_cost(t: Tables, *, min_fiscal_month: str = "202400",
+             lines: DataFrame | None = None) -> DataFrame:
     """Primary-UOM cost per unit of measure and divisor (zero divisor -> 0,
     NULL divisor skipped)."""
     divisor = F.col(DIVISOR_KEY)
     per_uom = F.when(divisor == 0, F.lit(0)).otherwise(
         (F.col("STNDRD_COST_AMT") / divisor).cast("decimal(38,6)"))
-    return (sales_lines(t, min_fiscal_month=min_fiscal_month)
+    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
+    return (lines
             .groupBy("PRMRY_UOM", DIVISOR_KEY)
             .agg(_money(F.sum(per_uom)).alias("PRIMARY_UOM_COST"),
                  F.count(F.lit(1)).alias("LINE_COUNT")))
@@ -359,3 +364,22 @@ def join_key_audit(t: Tables) -> DataFrame:
         key_multiplicity(t["import_history"], "FK_DeviceId", "E1ImportHistory"),
     ]
     return union_audits(audits)
+
+
+def sales_reports(t: Tables, *, min_fiscal_month: str = "202400",
+                  materialize: bool = True) -> dict[str, DataFrame]:
+    """The line-level reports computed from one set of sales lines.
+
+    With ``materialize`` the lines (the 12-join enrichment) are checkpointed
+    once in the shared checkpoint folder and every report reads them,
+    instead of each report re-running the joins; the checkpoint also cuts
+    the lineage, so a lost executor only recomputes from the saved lines.
+    """
+    lines = sales_lines(t, min_fiscal_month=min_fiscal_month)
+    if materialize:
+        lines = checkpointed(lines)
+    return {
+        "sales_type_mix": sales_type_mix(t, lines=lines),
+        "gl_measures": gl_measures(t, lines=lines),
+        "uom_cost": uom_cost(t, lines=lines),
+    }

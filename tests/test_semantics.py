@@ -117,3 +117,17 @@ def test_raw_group_distinct_merges_null_and_other(driver_t, spark):
     assert same(raw) == same(base)
     total = lambda df: df.agg(F.sum("NET_SLS")).first()[0]
     assert abs(total(merged) - 2 * total(base)) < 1e-6 * abs(total(base))
+
+
+def test_report_pack_reads_checkpointed_lines(driver_t, spark):
+    pack = S.sales_reports(driver_t, min_fiscal_month="199500")
+    direct = S.gl_measures(driver_t, min_fiscal_month="199500")
+    same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
+    assert same(pack["gl_measures"]) == same(direct)
+    assert spark.sparkContext.getCheckpointDir()
+
+
+def test_sales_types_are_total(driver_t):
+    lines = S.sales_lines(driver_t, min_fiscal_month="199500")
+    nulls = lines.where(F.col("SALES_TYPE").isNull() | F.col("CONSOL_SALES_TYPE").isNull())
+    assert lines.count() > 0 and nulls.count() == 0
