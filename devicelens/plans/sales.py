@@ -344,8 +344,11 @@ def other_group_semantics(t: Tables, *, min_fiscal_month: str = "202400",
     effect of grouping by raw values (NULL and ``Other`` separately)."""
     tx = transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=False,
                       merge_other=merge_other)
+    # NET_SLS is an exact 4-decimal amount published as DOUBLE: sum it as
+    # DECIMAL so the total does not depend on the order of addition.
+    net = F.col("NET_SLS").cast("decimal(38,4)")
     return (tx.groupBy("DEVICE_GROUP_LVL_1", "DEVICE_GROUP_LVL_2")
-            .agg(F.count(F.lit(1)).alias("ROW_COUNT"), F.sum("NET_SLS").alias("NET_SLS")))
+            .agg(F.count(F.lit(1)).alias("ROW_COUNT"), _money(F.sum(net)).alias("NET_SLS")))
 
 
 def join_key_audit(t: Tables) -> DataFrame:
