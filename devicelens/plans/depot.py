@@ -316,12 +316,21 @@ def pm_turnaround(t: Tables, *, year=2024, month=12, sites=R.PM_SITES, own_paren
 
 
 def pm_volume(t: Tables, *, year=2024, month=12, sites=R.PM_SITES, own_parent=R.OWN_PARENT,
-              since="2022-01-01", as_of=None) -> DataFrame:
-    """PM count by month, year and technician location."""
+              since="2022-01-01", as_of=None, with_avg: bool = False) -> DataFrame:
+    """PM count by month, year and technician location; ``with_avg`` adds the
+    average business days from check-in (``PmDays_avg``)."""
+    aggs = [F.count(F.lit(1)).alias("pm_count")]
+    if with_avg:
+        aggs.append(F.avg("PmDays").alias("PmDays_avg"))
     return (pm_turnaround(t, year=year, month=month, sites=sites, own_parent=own_parent,
                           since=since, as_of=as_of)
             .groupBy("completed_month", "completed_year", "techLocationName")
-            .agg(F.count(F.lit(1)).alias("pm_count")))
+            .agg(*aggs))
+
+
+def depot_activity_detail(t: Tables, **kw) -> DataFrame:
+    """The distinct activity rows the depot activity counts."""
+    return activity_rows(t, **kw).distinct()
 
 
 def ticket_business_days(t: Tables) -> DataFrame:
