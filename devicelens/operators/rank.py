@@ -46,7 +46,7 @@ def bucketed_rank(df: DataFrame, partition_by, order_by: str, name: str = "event
     b = "__rank_bucket"
     # NULL timestamps sort first: give them the smallest bucket value.
     with_b = df.withColumn(b, F.coalesce(F.date_trunc(bucket, F.col(order_by)),
-                                         F.lit("0001-01-01 00:00:00").cast("timestamp")))
+                                         F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")))
     # (key, bucket) -> rows; the window over this table sees one row per
     # bucket of a key, so even a hot key stays small.
     counts = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))

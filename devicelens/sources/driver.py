@@ -13,8 +13,9 @@ Rules (``k`` is the integer in ``events.props``):
   parity, error -> 924 repair, purchase -> ship code ``SHIP_CYCLE[k % 8]``);
   source = client ``k % 25``, destination = client ``event_id % 25``;
   technician = associate ``k % 10``.
-* Clients: one per nation; id from ``CLIENT_IDS``; parent company 108 for
-  region 0, else the region key; ``POOL`` and ``Field Service`` name tags.
+* Clients: one site per nation (id from ``CLIENT_IDS``; parent company 108
+  for region 0, else the region key; ``POOL`` and ``Field Service`` name
+  tags) plus one end-user client per customer.
 * Devices: one per customer. Associates: one per supplier.
 * Repair tickets: the error events; RMA rows for a third of them.
 * PO receipts / import history: one per order (receipt = order date + 23y).
@@ -134,12 +135,16 @@ def events(raw: DataFrame) -> DataFrame:
     )
 
 
-def clients(nation: DataFrame) -> DataFrame:
+def clients(nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """Site clients (one per nation: depots, internal and other sites) and
+    end-user clients (one per customer). End-user ids have six digits and
+    keys from 1000 up, so they never collide with the 25 site clients that
+    events, devices, staff and repair tickets refer to."""
     key = F.col("n_nationkey")
     name = F.concat(F.col("n_name"),
                     F.when(key % 6 == 0, F.lit(" POOL")).otherwise(F.lit("")),
                     F.when(key % 5 == 4, F.lit(" Field Service")).otherwise(F.lit("")))
-    return nation.select(
+    sites = nation.select(
         _client_id(key).alias("ID"),
         key.cast("long").alias("PK_ClientId"),
         F.when(F.col("n_regionkey") == 0, F.lit(108)).otherwise(F.col("n_regionkey"))
@@ -153,6 +158,22 @@ def clients(nation: DataFrame) -> DataFrame:
         _str(key + 60000000).alias("E1_AccountNumber"),
         F.when(key % 7 == 1, F.lit(1)).otherwise(F.lit(0)).alias("Manufacturer"),
     )
+    ck = F.col("c_custkey")
+    end_users = customer.select(
+        _str(ck + 100000).alias("ID"),
+        (ck + 1000).alias("PK_ClientId"),
+        (F.col("c_nationkey") % 5 + 1).cast("long").alias("FK_ParentCompanyId"),
+        F.concat(F.col("c_name"), F.when(ck % 50 == 7, F.lit(" Pool")).otherwise(F.lit("")))
+         .alias("Name"),
+        F.concat(_str(ck), F.lit(" Customer Way")).alias("Address1"),
+        F.lit(None).cast("string").alias("Address2"),
+        F.concat(F.lit("City "), _str(F.col("c_nationkey"))).alias("City"),
+        _pick(("TX", "CA", "NY", "OH", "GA"), F.col("c_nationkey") % 5).alias("State"),
+        _str(ck % 90000 + 10000).alias("Zip"),
+        _str(ck + CUSTOMER_BASE).alias("E1_AccountNumber"),
+        F.lit(0).alias("Manufacturer"),
+    )
+    return sites.unionByName(end_users)
 
 
 def devices(customer: DataFrame) -> DataFrame:
@@ -461,16 +482,30 @@ SPREAD_TABLES = {"customer": "c_custkey", "part": "p_partkey", "orders": "o_orde
                  "lineitem": "l_orderkey", "events": "event_id"}
 
 
+def _parallelism(spark: SparkSession) -> int | None:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        return None
+
+
+def _partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return 1 << 30  # unknown: do not spread
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All logical tables, derived from the driver parquet files in ``sf_dir``."""
     raw_cache: dict[str, DataFrame] = {}
 
-    parallelism = spark.sparkContext.defaultParallelism
+    parallelism = _parallelism(spark)
 
     def raw(name: str) -> DataFrame:
         if name not in raw_cache:
             df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            if name in SPREAD_TABLES and df.rdd.getNumPartitions() < parallelism:
+            if name in SPREAD_TABLES and parallelism and _partitions(df) < parallelism:
                 df = df.repartition(parallelism, SPREAD_TABLES[name])
             raw_cache[name] = df
         return raw_cache[name]
@@ -480,7 +515,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "devices": lambda: devices(raw("customer")),
         "event_codes": lambda: event_codes(spark),
         "oem_info": lambda: oem_info(raw("part")),
-        "clients": lambda: clients(raw("nation")),
+        "clients": lambda: clients(raw("nation"), raw("customer")),
         "associates": lambda: associates(raw("supplier")),
         "po_receipts": lambda: po_receipts(raw("orders")),
         "import_history": lambda: import_history(raw("orders")),
