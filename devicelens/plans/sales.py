@@ -12,12 +12,11 @@ Shape of :func:`biomed_sales`:
 * item, customer, GL, transaction-type and manager dimensions: Spark picks
   broadcast or shuffle by size (AQE re-checks at runtime);
 * the specialist name is attached to the lines (exact, see
-  :func:`transactions`), so no shuffle follows the aggregation except the
-  DISTINCT's;
-* the 40-key GROUP BY keeps map-side partial aggregation (a hot report row
-  is pre-summed per map task); optionally (``single_shuffle``) the lines are
-  hash-partitioned once by the output keys, a partitioning that satisfies
-  both the GROUP BY and the DISTINCT.
+  :func:`transactions`), so no shuffle follows the aggregation;
+* the raw-group GROUP BY and the DISTINCT over it are one aggregation keyed
+  by the printed labels, with map-side partial aggregation (see
+  :func:`transactions`): a single shuffle, and a hot report row is
+  pre-summed per map task.
 
 Money is summed exactly as DECIMAL and published as DOUBLE.
 """
@@ -47,10 +46,6 @@ KEYS = ("BIOMED_FLG", "ORDR_NUM", "OTORDERNUM", "DEVICE_CD", "PARNT_SUPLR_NAME",
         "PROD_SUB_CTGRY_LVL4_DSC", "SALES_TYPE", "CONSOL_SALES_TYPE", "LINE_TYPE_CD",
         "LINE_TYPE_DSC", "ORDR_TYPE_CD", "ORDR_TYPE_DSC")
 DIVISOR_KEY = "PRMRY_TO_SELL_DIVISOR"
-MEASURES = ("TTL_DEVICE_QTY", "PRIMARY_UOM_COST", "STNDRD_COST_AMT", "OEM_FEES", "SERVICE_FEES",
-            "GL_SELL_GP", "GL_COGS", "SLS_OEM_FEES", "SLS_EXCL_OEM_FEES",
-            "GL_SELL_GP_EXCL_OEM_FEES", "NET_SLS")
-
 
 def _today(as_of) -> Column:
     return date_lit(as_of) if as_of is not None else F.current_date()
@@ -128,9 +123,21 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
         rng = period_id_range(t, min_fiscal_month)
         s = (s.where(F.col("DIM_GL_DT_ID").between(F.lit(rng[0]), F.lit(rng[1])))
              if rng else s.where(F.lit(False)))
+    # The order-level dimension first: the fact is clustered by its sale id
+    # (order key), so a sort-merge join here needs no new fact shuffle.
+    bmd = biomed_dimension(t).select(
+        F.col("DIM_BIOMED_SLS_ID"), "REF_NUM", "DEVICE_CD", "ASSET_ID", "REPAIR_TKT_NUM", "TYPE",
+        "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2", "RENT_FISC_YR_MTH_NUM")
+    j = s.join(bmd, s.SLS_ID == bmd.DIM_BIOMED_SLS_ID, "left")
+    # Customers next, while the rows are still narrow: at scale this join
+    # shuffles the fact by customer, so the wide calendar and item columns
+    # are only added after it.
+    cus = customer_bill_to(t).withColumnRenamed("DIM_CUST_CURR_ID", "cus_id")
+    j = (j.join(cus, j.DIM_CUST_CURR_ID == cus.cus_id, "left")
+         .where((F.col("BIOMED_FLG") == "Y") | (F.col("BIOMED_ACCT_FLG") == "Y")))
     cal = (bounded(t["period"]).where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
            .select(F.col("DIM_PERIOD_ID").alias("cal_id"), *CAL_COLUMNS))
-    j = s.join(cal, s.DIM_GL_DT_ID == cal.cal_id, "inner")
+    j = j.join(cal, j.DIM_GL_DT_ID == cal.cal_id, "inner")
     if not period_key_unique:
         # The GL period is joined twice (inner and as calendar); with a
         # repeated key the second join multiplies rows again.
@@ -140,15 +147,6 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
                           "PARNT_SUPLR_NAME", "PRMRY_UOM", "PROD_SUB_CTGRY_LVL4_DSC",
                           "PRMRY_TO_SELL_DIVISOR", "STNDRD_COST_AMT")
     j = j.join(i, j.DIM_ITEM_E1_CURR_ID == i.i_id, "inner")
-    # The order-level dimension first: the fact is clustered by its sale id
-    # (order key), so a sort-merge join here needs no new fact shuffle.
-    bmd = biomed_dimension(t).select(
-        F.col("DIM_BIOMED_SLS_ID"), "REF_NUM", "DEVICE_CD", "ASSET_ID", "REPAIR_TKT_NUM", "TYPE",
-        "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2", "RENT_FISC_YR_MTH_NUM")
-    j = j.join(bmd, j.SLS_ID == bmd.DIM_BIOMED_SLS_ID, "left")
-    cus = customer_bill_to(t).withColumnRenamed("DIM_CUST_CURR_ID", "cus_id")
-    j = (j.join(cus, j.DIM_CUST_CURR_ID == cus.cus_id, "left")
-         .where((F.col("BIOMED_FLG") == "Y") | (F.col("BIOMED_ACCT_FLG") == "Y")))
     gls = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("gls_id"),
                                   F.col("OBJ_ACCT_CD").alias("GLS_OBJ_ACCT_CD"))
     glc = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("glc_id"))
@@ -188,64 +186,71 @@ def _money(c: Column) -> Column:
     return c.cast("double")
 
 
-def _measures(with_uom_cost: bool) -> list[Column]:
+def _measure_inputs(with_uom_cost: bool):
+    """(name, aggregate, per-line value) of each report measure, in order."""
     item, net, cost = F.col("ITEM_E1_NUM"), F.col("EXT_NET_SLS_AMT"), F.col("GL_COST")
     zero = F.lit(0)
     oem = F.when(item == F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
     non_oem = F.when(item != F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
-    out = [F.count("ASSET_ID").alias("TTL_DEVICE_QTY")]
+    out = [("TTL_DEVICE_QTY", F.count, F.col("ASSET_ID"))]
     if with_uom_cost:
         divisor = F.col(DIVISOR_KEY)
         per_uom = F.when(divisor == 0, zero).otherwise(
             (F.col("STNDRD_COST_AMT") / divisor).cast("decimal(38,6)"))
-        out.append(_money(F.sum(per_uom)).alias("PRIMARY_UOM_COST"))
+        out.append(("PRIMARY_UOM_COST", F.sum, per_uom))
     out += [
-        _money(F.sum("STNDRD_COST_AMT")).alias("STNDRD_COST_AMT"),
-        _money(F.sum(oem)).alias("OEM_FEES"),
-        _money(F.sum(F.when(item.isin(list(R.SERVICE_FEE_ITEMS)), net).otherwise(zero)))
-        .alias("SERVICE_FEES"),
-        _money(F.sum(net - cost)).alias("GL_SELL_GP"),
-        _money(F.sum(cost)).alias("GL_COGS"),
-        _money(F.sum(oem)).alias("SLS_OEM_FEES"),
-        _money(F.sum(non_oem)).alias("SLS_EXCL_OEM_FEES"),
-        _money(F.sum(non_oem - cost)).alias("GL_SELL_GP_EXCL_OEM_FEES"),
-        _money(F.sum(net)).alias("NET_SLS"),
+        ("STNDRD_COST_AMT", F.sum, F.col("STNDRD_COST_AMT")),
+        ("OEM_FEES", F.sum, oem),
+        ("SERVICE_FEES", F.sum, F.when(item.isin(list(R.SERVICE_FEE_ITEMS)), net).otherwise(zero)),
+        ("GL_SELL_GP", F.sum, net - cost),
+        ("GL_COGS", F.sum, cost),
+        ("SLS_OEM_FEES", F.sum, oem),
+        ("SLS_EXCL_OEM_FEES", F.sum, non_oem),
+        ("GL_SELL_GP_EXCL_OEM_FEES", F.sum, non_oem - cost),
+        ("NET_SLS", F.sum, net),
     ]
     return out
 
 
+def _publish(name: str, fn, value: Column) -> Column:
+    """Counts stay integral; money (exact DECIMAL sums) is published as DOUBLE."""
+    return (value if fn is F.count else _money(value)).alias(name)
+
+
+def _measures(with_uom_cost: bool) -> list[Column]:
+    return [_publish(n, fn, fn(v)) for n, fn, v in _measure_inputs(with_uom_cost)]
+
+
 def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost: bool = True,
                  merge_other: bool = False, period_key_unique: bool = True,
-                 specialists: DataFrame | None = None,
-                 single_shuffle: bool = False) -> DataFrame:
+                 specialists: DataFrame | None = None) -> DataFrame:
     """Aggregated, de-duplicated transactions.
 
-    By default the device groups are grouped by their *raw* values and only
-    labelled afterwards, so a NULL group and a literal ``Other`` group stay
-    separate rows that both print ``Other``; the DISTINCT then merges such a
-    pair only when every measure is equal. ``merge_other=True`` groups by
-    the label instead (sums the pair).
+    Device groups are grouped by their *raw* values and labelled afterwards,
+    so a NULL group and a literal ``Other`` group are separate report rows
+    that print alike, and the DISTINCT merges such rows only when every
+    measure is equal. ``merge_other=True`` groups by the label (sums them).
+
+    Plan: one aggregation keyed by the *labels*, with map-side partial
+    aggregation (a report row that sums a large share of lines is
+    pre-summed per map task). Only NULL and ``Other`` collide under a label,
+    so a label group holds at most four raw variants (NULL or not, per
+    level); the aggregate keeps each variant's row count and measures, and
+    the variants present are emitted with equal measure tuples merged. That
+    is GROUP BY raw values followed by DISTINCT, with one shuffle instead of
+    two.
 
     ``specialists`` (BILL_TO_CUST_NUM, ACCT_MGR_EMPLY_ID, ACCT_MGR_NAME,
     distinct) is left-joined to the *lines* and carried as extra group keys.
     The bill-to number is a group key, so every (group, specialist) has the
     same lines and sums as the group alone: this equals joining the
-    specialists after the DISTINCT, one row per specialist, without a second
-    shuffle of the aggregated rows. The employee id is dropped after the
-    DISTINCT, so two specialists of one name still give two rows.
-
-    Shuffles: by default the GROUP BY is planned with map-side partial
-    aggregation before its exchange, so a report row that aggregates a large
-    share of all lines is summed per map task, never by one task; the
-    DISTINCT then shuffles the (already aggregated, unique) rows once more.
-    ``single_shuffle=True`` instead hash-partitions the lines by the output
-    keys once, which satisfies both the GROUP BY and the DISTINCT (one
-    exchange, no map-side combine) - cheaper when no report row is hot.
+    specialists after the DISTINCT, one row per specialist, without another
+    shuffle of the aggregated rows. The employee id is dropped at the end,
+    so two specialists of one name still give two rows.
     """
     lines = sales_lines(t, min_fiscal_month=min_fiscal_month,
                         period_key_unique=period_key_unique)
     keys = [k for k in KEYS] + ([DIVISOR_KEY] if with_uom_cost else [])
-    raw = [] if merge_other else ["RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2"]
     extra = []
     if specialists is not None:
         sp = specialists.select(F.col("BILL_TO_CUST_NUM").alias("sp_bill_to"),
@@ -253,17 +258,32 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
                                 F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
         lines = lines.join(sp, lines.BILL_TO_CUST_NUM == sp.sp_bill_to, "left")
         extra = ["SP_EMPLY_ID", "BIOMED_SPECIALIST_NAME"]
-    if single_shuffle:
-        # One hash partitioning by the output keys serves the GROUP BY (its
-        # keys are a superset) and the DISTINCT (the keys pass through).
-        lines = lines.repartition(*keys)
-    agg = lines.groupBy(*keys, *raw, *extra).agg(*_measures(with_uom_cost))
-    measures = [m for m in MEASURES if with_uom_cost or m != "PRIMARY_UOM_COST"]
+    inputs = _measure_inputs(with_uom_cost)
+    names = [n for n, _, _ in inputs]
+    if merge_other:
+        agg = lines.groupBy(*keys, *extra).agg(*_measures(with_uom_cost))
+    else:
+        variant = (F.when(F.col("RAW_GROUP_LVL_1").isNull(), F.lit(0)).otherwise(F.lit(2))
+                   + F.when(F.col("RAW_GROUP_LVL_2").isNull(), F.lit(0)).otherwise(F.lit(1)))
+        lines = lines.withColumn("__variant", variant)
+        parts = []
+        for v in range(4):
+            is_v = F.col("__variant") == F.lit(v)
+            parts.append(F.count(F.when(is_v, F.lit(1))).alias(f"__rows{v}"))
+            parts += [fn(F.when(is_v, value)).alias(f"{n}__{v}") for n, fn, value in inputs]
+        per_variant = lines.groupBy(*keys, *extra).agg(*parts)
+        present = F.filter(
+            F.array(*[F.when(F.col(f"__rows{v}") > 0,
+                             F.struct(*[F.col(f"{n}__{v}").alias(n) for n in names]))
+                      for v in range(4)]),
+            lambda m: m.isNotNull())
+        agg = (per_variant
+               .select(*keys, *extra, F.explode(F.array_distinct(present)).alias("__m"))
+               .select(*keys, *extra,
+                       *[_publish(n, fn, F.col(f"__m.{n}")) for n, fn, _ in inputs]))
     out = agg.select(*keys[:13],
                      R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
-                     *keys[13:], *measures, *extra)
-    if not merge_other:
-        out = out.distinct()
+                     *keys[13:], *names, *extra)
     return out.drop("SP_EMPLY_ID")
 
 

@@ -131,3 +131,30 @@ def test_sales_types_are_total(driver_t):
     lines = S.sales_lines(driver_t, min_fiscal_month="199500")
     nulls = lines.where(F.col("SALES_TYPE").isNull() | F.col("CONSOL_SALES_TYPE").isNull())
     assert lines.count() > 0 and nulls.count() == 0
+
+
+def _reference_transactions(t, min_fiscal_month):
+    """The report's aggregation written directly: GROUP BY raw groups, label,
+    DISTINCT (no specialists, no UOM cost)."""
+    lines = S.sales_lines(t, min_fiscal_month=min_fiscal_month)
+    keys = list(S.KEYS)
+    agg = lines.groupBy(*keys, "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2").agg(*S._measures(False))
+    names = [n for n, _, _ in S._measure_inputs(False)]
+    return agg.select(*keys[:13], S.R.group_name_trim(F.col("MSTR_GRP_NAME"))
+                      .alias("MSTR_GRP_NAME_TRIM"), *keys[13:], *names).distinct()
+
+
+def test_variant_aggregation_equals_group_by_raw_then_distinct(driver_t):
+    """Device codes listed as NULL twice and Other once: the NULL variant has
+    twice the measures, so both rows survive the DISTINCT."""
+    di = driver_t["device_index"]
+    other = di.select("DEVICE_CODE", "TYPE", F.lit("Other").alias("DEVICE_GROUP_LVL_1"),
+                      F.col("DEVICE_GROUP_LVL_2"))
+    null = other.withColumn("DEVICE_GROUP_LVL_1", F.lit(None).cast("string"))
+    t = driver_t.override(device_index=other.unionByName(null).unionByName(null))
+    got = S.transactions(t, min_fiscal_month="199500", with_uom_cost=False)
+    want = _reference_transactions(t, "199500")
+    same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
+    assert same(got) == same(want)
+    assert got.count() > S.transactions(driver_t, min_fiscal_month="199500",
+                                         with_uom_cost=False).count()
