@@ -1,6 +1,8 @@
 """Logical tables: catalog/parquet readers and driver test-data adapters."""
 
-from devicelens.sources.catalog import LOGICAL_TABLES, Tables, catalog_tables, parquet_tables
+from devicelens.sources.catalog import (LOGICAL_TABLES, Tables, catalog_tables, jdbc_tables,
+                                        parquet_tables)
 from devicelens.sources.driver import driver_tables
 
-__all__ = ["LOGICAL_TABLES", "Tables", "catalog_tables", "driver_tables", "parquet_tables"]
+__all__ = ["LOGICAL_TABLES", "Tables", "catalog_tables", "driver_tables", "jdbc_tables",
+           "parquet_tables"]

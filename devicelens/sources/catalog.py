@@ -116,3 +116,37 @@ def parquet_tables(spark: SparkSession, root: str) -> Tables:
     loaders = {logical: (lambda n=ref: spark.read.parquet(f"{root}/{n}"))
                for logical, ref in LOGICAL_TABLES.items()}
     return Tables(spark, loaders)
+
+
+# Operational (device-service) tables live in a relational database in the
+# source system; these are their logical names.
+OPERATIONAL_TABLES = ("events", "devices", "event_codes", "oem_info", "clients", "associates",
+                      "po_receipts", "import_history", "repair_tickets", "rma_tracker")
+
+
+def jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str], *,
+                schema: str = "dbo", partitions: Mapping[str, tuple] | None = None,
+                base: Tables | None = None) -> Tables:
+    """Read the operational tables over JDBC; other names come from ``base``.
+
+    ``partitions`` maps a logical name to ``(column, lower, upper, n)`` for a
+    parallel bulk read split into ``n`` ranges of a numeric column (without
+    it a JDBC table is read by a single task, which only suits small
+    tables), e.g. ``{"events": ("EventId", 0, 10**10, 512)}``. Filters and
+    column pruning of the jobs are pushed into the generated SQL.
+    """
+    partitions = dict(partitions or {})
+    props = dict(properties)
+
+    def reader(logical: str):
+        table = f"{schema}.{LOGICAL_TABLES[logical]}"
+        if logical in partitions:
+            column, lower, upper, n = partitions[logical]
+            return lambda: spark.read.jdbc(url, table, column=column, lowerBound=lower,
+                                           upperBound=upper, numPartitions=n,
+                                           properties=props)
+        return lambda: spark.read.jdbc(url, table, properties=props)
+
+    loaders = {name: (lambda n=name: base[n]) for name in (base or {})}
+    loaders.update({name: reader(name) for name in OPERATIONAL_TABLES})
+    return Tables(spark, loaders)

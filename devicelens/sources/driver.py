@@ -484,12 +484,12 @@ SPREAD_TABLES = {"customer": "c_custkey", "part": "p_partkey", "orders": "o_orde
 
 def _parallelism(spark: SparkSession) -> int | None:
     """Partition count for the spread tables: the session's shuffle
-    partition count, so a later join on the same key (e.g. the fact with the
-    order-level dimension) can keep this partitioning instead of
-    re-shuffling the fact."""
+    partition count (at most four per core), so a later join on the same key
+    (e.g. the fact with the order-level dimension) can keep this
+    partitioning instead of re-shuffling the fact."""
     try:
-        spark.sparkContext  # sessions without a SparkContext: do not spread
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cores = spark.sparkContext.defaultParallelism  # no SparkContext: do not spread
+        return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
     except Exception:
         return None
 
