@@ -221,7 +221,7 @@ def associates(supplier: DataFrame) -> DataFrame:
     )
 
 
-def _receipt_date(orders: DataFrame) -> Column:
+def _receipt_date() -> Column:
     return F.col("o_orderdate") + F.expr("INTERVAL 23 YEARS")
 
 
@@ -230,7 +230,7 @@ def po_receipts(orders: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("E1PurchaseOrderReceiptId"),
         F.concat(F.lit("PO"), _str(F.col("o_orderkey"))).alias("PONumber"),
         _str(F.col("o_custkey") % 1000).alias("DeviceCode"),
-        _receipt_date(orders).alias("ReceiptDate"),
+        _receipt_date().alias("ReceiptDate"),
     )
 
 
@@ -239,7 +239,7 @@ def import_history(orders: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("E1PurchaseOrderReceiptId"),
         F.col("o_custkey").alias("FK_DeviceId"),
         F.concat(F.lit("loader"), _str(F.col("o_orderkey") % 5)).alias("CreatedBy"),
-        (_receipt_date(orders) + F.expr("INTERVAL 1 DAYS")).alias("CreatedDate"),
+        (_receipt_date() + F.expr("INTERVAL 1 DAYS")).alias("CreatedDate"),
     )
 
 
