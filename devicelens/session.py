@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # The sales report aggregates ~45 keys with per-variant measure buffers;
+    # above the default 100 fields Spark drops whole-stage codegen for it.
+    "spark.sql.codegen.maxFields": "400",
     # Python call-site capture for error messages costs a stack walk and a
     # conf lookup per Column function while plans are built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
