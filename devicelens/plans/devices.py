@@ -71,9 +71,19 @@ def first_events(t: Tables, *, make: str = "Breas%", sources=R.TRACED_SOURCES,
 
 
 def ranked_events(t: Tables, *, make: str = "Breas%", sources=R.TRACED_SOURCES,
-                  code=None) -> DataFrame:
-    """Every qualifying event with its rank per barcode (skew-safe rank)."""
+                  code=None, serials=None) -> DataFrame:
+    """Every qualifying event with its rank per barcode (skew-safe rank).
+
+    With ``serials``, only barcodes that carry an event of those devices are
+    ranked: a rank depends only on events of the same barcode, so the ranks
+    are unchanged while the work shrinks to those barcodes. (NULL barcodes
+    form one window partition, hence the null-safe match.)
+    """
     e = _events_of_make(t, make=make, sources=sources, code=code)
+    if serials is not None:
+        wanted = (e.where(F.col("SerialNumber").isin(list(serials)))
+                  .select(F.col("BarCodeNumber").alias("wanted_barcode")))
+        e = e.join(wanted, e.BarCodeNumber.eqNullSafe(wanted.wanted_barcode), "left_semi")
     ranked = bucketed_rank(e, "BarCodeNumber", "TimeStamp", "eventRank")
     return _classify(ranked).select(*A_COLUMNS)
 
@@ -145,7 +155,7 @@ def event_history(t: Tables, *, make: str = "Breas%", sources=R.TRACED_SOURCES,
                   serials=("M240187",)) -> DataFrame:
     """All events of devices of ``make`` from traced sources with their rank,
     enrichment and receipt filter; ``serials=None`` keeps every device."""
-    a = ranked_events(t, make=make, sources=sources)
+    a = ranked_events(t, make=make, sources=sources, serials=serials)
     b = _enrich(t, a)
     if serials is not None:
         b = b.where(F.col("SerialNumber").isin(list(serials)))

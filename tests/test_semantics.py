@@ -158,3 +158,13 @@ def test_variant_aggregation_equals_group_by_raw_then_distinct(driver_t):
     assert same(got) == same(want)
     assert got.count() > S.transactions(driver_t, min_fiscal_month="199500",
                                          with_uom_cost=False).count()
+
+
+def test_event_history_for_serials_equals_filtered_full_history(driver_t):
+    from devicelens.plans import devices as V
+    full = V.event_history(driver_t, serials=None)
+    serials = [r.SerialNumber for r in full.select("SerialNumber").distinct().limit(3).collect()]
+    one = V.event_history(driver_t, serials=serials)
+    same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
+    assert one.count() > 0
+    assert same(one) == same(full.where(F.col("SerialNumber").isin(serials)))
