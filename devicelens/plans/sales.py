@@ -1,19 +1,21 @@
 """Biomed sales transactions report.
 
-Shape of :func:`biomed_sales`:
+Shape of :func:`biomed_sales`, in join order:
 
-* fact lines, filtered by fiscal month through an inner join with the
-  period dimension (a generated, bounded calendar, broadcast);
-* the order-level biomed dimension is enriched *before* it meets the fact:
+* fact lines limited to the selected fiscal months by the implied range of
+  period ids (a literal range the fact's scan can use), then joined to:
+* the order-level biomed dimension, enriched *before* it meets the fact:
   device index, price list and rent calendar hang off its device code and
   billing text, and those join predicates reject NULL, so
-  ``fact ⟕ bmd ⟕ x`` equals ``fact ⟕ (bmd ⟕ x)`` and the fact is joined
-  once on the sale id instead of being re-shuffled by device code;
-* item, customer, GL, transaction-type and manager dimensions: Spark picks
-  broadcast or shuffle by size (AQE re-checks at runtime);
-* the specialist name is attached to the lines (exact, see
+  ``fact ⟕ bmd ⟕ x`` equals ``fact ⟕ (bmd ⟕ x)``; joined on the sale id,
+  which reuses the fact's clustering by order key;
+* customers (the one fact shuffle at scale, while rows are still narrow),
+  then the bounded calendar (broadcast), items, GL, transaction-type and
+  manager dimensions (Spark picks broadcast or shuffle by size; AQE
+  re-checks at runtime);
+* the specialist name attached to the lines (exact, see
   :func:`transactions`), so no shuffle follows the aggregation;
-* the raw-group GROUP BY and the DISTINCT over it are one aggregation keyed
+* the raw-group GROUP BY and the DISTINCT over it as one aggregation keyed
   by the printed labels, with map-side partial aggregation (see
   :func:`transactions`): a single shuffle, and a hot report row is
   pre-summed per map task.
