@@ -44,3 +44,10 @@ def test_readers_are_lazy(spark):
     j = jdbc_tables(spark, "jdbc:sqlserver://host;databaseName=ops", {"user": "u"},
                     partitions={"events": ("EventId", 0, 100, 4)}, base=t)
     assert set(j) == set(LOGICAL_TABLES)   # nothing is read until a table is used
+
+
+def test_publish_view_is_queryable(spark, driver_t):
+    from devicelens.plans import sales as S
+    S.publish_view(S.group_name_trim(driver_t), "TRIMMED_GROUPS")
+    n = spark.sql("SELECT count(*) FROM TRIMMED_GROUPS WHERE MSTR_GRP_NAME_TRIM NOT LIKE 'BIO%'")
+    assert n.first()[0] == driver_t["customers_blend"].count()
