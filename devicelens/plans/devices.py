@@ -7,8 +7,8 @@ Plan shape for :func:`placements` (first outbound event per barcode):
 2. ``rank() over (partition by barcode order by ts)`` filtered to 1 right
    away, which Catalyst turns into a partial WindowGroupLimit before the
    shuffle (a hot barcode ships only its first rows);
-3. the PO bridge is reduced to the placed devices with a semi-join before
-   its DISTINCT, so the bridge work follows the placements, not the whole
+3. the PO bridge is reduced to devices of the make with a semi-join before
+   its DISTINCT, so the bridge work follows those devices, not the whole
    receipt history;
 4. dimension joins, receipt filter, label, date window (after the rank, so
    the rank sees every event).
@@ -110,16 +110,24 @@ def po_bridge(t: Tables, devices: DataFrame | None = None) -> DataFrame:
                     "ReceiptDate").distinct()
 
 
-def _enrich(t: Tables, a: DataFrame) -> DataFrame:
+def _devices_of_make(t: Tables, make: str) -> DataFrame:
+    return t["devices"].where(F.col("Make").like(make)).select(F.col("DeviceUID").alias("FK_DeviceId"))
+
+
+def _enrich(t: Tables, a: DataFrame, make: str) -> DataFrame:
     """Add part number, PO and receipt, source and end-user details; keep
-    end users that are not manufacturers and events after the receipt."""
+    end users that are not manufacturers and events after the receipt.
+
+    The PO bridge is reduced to devices of ``make`` (every event in ``a``
+    is of that make, so no match is lost) straight from the device table,
+    rather than from ``a`` itself, which would compute the ranking twice."""
     oem = t["oem_info"].select("EquipmentTypeId", "PartNumber")
     src = t["clients"].select(F.col("ID").alias("src_id"), F.col("Name").alias("source_name"))
     dest = (t["clients"].where(F.col("Manufacturer") == 0)
             .select(F.col("ID").alias("dest_id"), F.col("Name").alias("End_User_Name"),
                     "Address1", "Address2", "City", "State", "Zip", "E1_AccountNumber"))
-    ponum = po_bridge(t, devices=a).select(F.col("FK_DeviceId").alias("po_device"),
-                                           "PONumber", "ReceiptDate")
+    ponum = (po_bridge(t, devices=_devices_of_make(t, make))
+             .select(F.col("FK_DeviceId").alias("po_device"), "PONumber", "ReceiptDate"))
     b = (a.join(oem, a.DeviceCode == oem.EquipmentTypeId, "left")
          .join(src, a.SrcID == src.src_id, "left")
          .join(dest, a.DestID == dest.dest_id, "inner")
@@ -142,7 +150,7 @@ def placements(t: Tables, *, make: str = "Breas%", sources=R.TRACED_SOURCES,
     Sale / Rental / Transfer label, placed in ``[start, end)`` after
     ``after_year``. The date window applies after the ranking."""
     a = first_events(t, make=make, sources=sources)
-    b = _enrich(t, a)
+    b = _enrich(t, a, make)
     label = R.sale_rental(F.col("SrcID"), F.col("EventCode"), F.col("DestID"), F.col("OwnerID"),
                           internal, transfer_label)
     return (b.withColumn("sale_rental", label)
@@ -156,7 +164,7 @@ def event_history(t: Tables, *, make: str = "Breas%", sources=R.TRACED_SOURCES,
     """All events of devices of ``make`` from traced sources with their rank,
     enrichment and receipt filter; ``serials=None`` keeps every device."""
     a = ranked_events(t, make=make, sources=sources, serials=serials)
-    b = _enrich(t, a)
+    b = _enrich(t, a, make)
     if serials is not None:
         b = b.where(F.col("SerialNumber").isin(list(serials)))
     return b
