@@ -214,6 +214,11 @@ def _measure_inputs(with_uom_cost: bool):
     return out
 
 
+# Output measures that repeat another measure's expression exactly
+# (``item IN (x)`` and ``item = x``): aggregated once, published twice.
+MEASURE_COPIES = {"SLS_OEM_FEES": "OEM_FEES"}
+
+
 def _publish(name: str, fn, value: Column) -> Column:
     """Counts stay integral; money (exact DECIMAL sums) is published as DOUBLE."""
     return (value if fn is F.count else _money(value)).alias(name)
@@ -260,10 +265,10 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
                                 F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
         lines = lines.join(sp, lines.BILL_TO_CUST_NUM == sp.sp_bill_to, "left")
         extra = ["SP_EMPLY_ID", "BIOMED_SPECIALIST_NAME"]
-    inputs = _measure_inputs(with_uom_cost)
-    names = [n for n, _, _ in inputs]
+    names = [n for n, _, _ in _measure_inputs(with_uom_cost)]
+    inputs = [m for m in _measure_inputs(with_uom_cost) if m[0] not in MEASURE_COPIES]
     if merge_other:
-        agg = lines.groupBy(*keys, *extra).agg(*_measures(with_uom_cost))
+        agg = lines.groupBy(*keys, *extra).agg(*[_publish(n, fn, fn(v)) for n, fn, v in inputs])
     else:
         variant = (F.when(F.col("RAW_GROUP_LVL_1").isNull(), F.lit(0)).otherwise(F.lit(2))
                    + F.when(F.col("RAW_GROUP_LVL_2").isNull(), F.lit(0)).otherwise(F.lit(1)))
@@ -276,16 +281,18 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
         per_variant = lines.groupBy(*keys, *extra).agg(*parts)
         present = F.filter(
             F.array(*[F.when(F.col(f"__rows{v}") > 0,
-                             F.struct(*[F.col(f"{n}__{v}").alias(n) for n in names]))
+                             F.struct(*[F.col(f"{n}__{v}").alias(n) for n, _, _ in inputs]))
                       for v in range(4)]),
             lambda m: m.isNotNull())
         agg = (per_variant
                .select(*keys, *extra, F.explode(F.array_distinct(present)).alias("__m"))
                .select(*keys, *extra,
                        *[_publish(n, fn, F.col(f"__m.{n}")) for n, fn, _ in inputs]))
+    measures = [F.col(MEASURE_COPIES[n]).alias(n) if n in MEASURE_COPIES else F.col(n)
+                for n in names]
     out = agg.select(*keys[:13],
                      R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
-                     *keys[13:], *names, *extra)
+                     *keys[13:], *measures, *extra)
     return out.drop("SP_EMPLY_ID")
 
 
