@@ -35,3 +35,9 @@ def test_entry_runs_with_stable_schema(spark):
     assert df.columns == ["eventYear", "eventMonth", "LocationName", "ownershipType",
                           "eventType", "eventCount"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_output_column_names_are_unique(spark, name):
+    cols = QUERIES[name](spark, SF_SMALL).columns
+    assert len(cols) == len({c.lower() for c in cols})
