@@ -168,3 +168,17 @@ def test_event_history_for_serials_equals_filtered_full_history(driver_t):
     same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
     assert one.count() > 0
     assert same(one) == same(full.where(F.col("SerialNumber").isin(serials)))
+
+
+def test_repeated_price_list_key_multiplies_lines(driver_t):
+    """H3: a price-list item listed twice for the OT org joins every line of
+    that device twice, so its sums double; other devices are unchanged."""
+    pl = driver_t["price_list"]
+    t2 = driver_t.override(price_list=pl.unionByName(pl))
+    kw = dict(min_fiscal_month="199500", with_uom_cost=False)
+    base, dup = S.transactions(driver_t, **kw), S.transactions(t2, **kw)
+    ot = [r.PLY553PLITM for r in pl.where(F.col("PLTORG") == "OT").collect()]
+    total = lambda df: df.agg(F.sum("NET_SLS")).first()[0] or 0.0
+    hit = total(base.where(F.col("DEVICE_CD").isin(ot)))
+    assert hit > 0
+    assert abs(total(dup) - (total(base) + hit)) < 1e-6 * total(base)
