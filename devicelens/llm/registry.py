@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from devicelens.llm import packing, token_counts
+from devicelens.llm import decontaminate, packing, token_counts
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
+    "op3_positional_decontamination": decontaminate.query,
     "op10_merge_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_positional_decontamination": decontaminate.ORACLE_SQL,
+}
