@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from devicelens.llm import decontaminate, packing, token_counts
+from devicelens.llm import decontaminate, language_id, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
     "op3_positional_decontamination": decontaminate.query,
+    "op4_subword_quality": quality.query,
+    "op5_partial_matching_language": language_id.query,
+    "op8_lexicon_toxicity": toxicity.query,
     "op10_merge_token_counts": token_counts.query,
 }
 
