@@ -159,3 +159,22 @@ def alnum_words() -> np.ndarray:
     for lo, hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
         table[lo:hi] = True
     return table
+
+
+def bound_arrow_batches(spark: SparkSession, size: int = 64 << 20) -> None:
+    """Let Arrow batches hold at most ``size`` bytes where the session sets no limit of its own.
+
+    The default bounds only their rows, and 10,000 long texts don't fit.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) >= 2**31 - 1:
+        spark.conf.set(key, str(size))
+
+
+def uint64_sets(column) -> list[np.ndarray]:
+    """The 64-bit values in each row of an Arrow binary column."""
+    arr = column.cast(pa.large_binary())
+    buffers = arr.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    return [np.frombuffer(data[lo:hi].tobytes(), np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:])]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from devicelens.llm import decontaminate, language_id, packing, quality, token_counts, toxicity
+from devicelens.llm import decontaminate, jaccard_join, language_id, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
+    "op2_token_group_join": jaccard_join.query,
     "op3_positional_decontamination": decontaminate.query,
     "op4_subword_quality": quality.query,
     "op5_partial_matching_language": language_id.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_token_group_join": jaccard_join.ORACLE_SQL,
     "op3_positional_decontamination": decontaminate.ORACLE_SQL,
 }
