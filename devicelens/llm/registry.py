@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from devicelens.llm import decontaminate, jaccard_join, language_id, packing, quality, token_counts, toxicity
+from devicelens.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
@@ -10,11 +10,15 @@ QUERIES = {
     "op3_positional_decontamination": decontaminate.query,
     "op4_subword_quality": quality.query,
     "op5_partial_matching_language": language_id.query,
+    "op6_site_spread_lines": line_dedup.query,
+    "op7_personal_data": pii.query,
     "op8_lexicon_toxicity": toxicity.query,
     "op10_merge_token_counts": token_counts.query,
 }
 
 ORACLE_SQL = {
     "op2_token_group_join": jaccard_join.ORACLE_SQL,
+    "op6_site_spread_lines": line_dedup.ORACLE_SQL,
+    "op7_personal_data": pii.ORACLE_SQL,
     "op3_positional_decontamination": decontaminate.ORACLE_SQL,
 }
