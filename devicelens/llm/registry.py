@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from devicelens.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, toxicity
+from devicelens.llm import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_site_spread_lines": line_dedup.query,
     "op7_personal_data": pii.query,
     "op8_lexicon_toxicity": toxicity.query,
+    "op9_weighted_fingerprints": fingerprints.query,
     "op10_merge_token_counts": token_counts.query,
 }
 
