@@ -75,12 +75,14 @@ class ContextTrees:
         """From counts of byte strings of ``order + 1`` bytes per language."""
         width = len(languages)
         levels = []  # of strings of 1 .. order + 1 bytes: (codes, counts per language)
-        for size in range(1, order + 2):
-            part = code & np.uint64((1 << (8 * size)) - 1)
-            codes, place = np.unique(part, return_inverse=True)
+        codes = np.unique(code)
+        for size in range(order + 1, 0, -1):
+            mask = np.uint64((1 << (8 * size)) - 1)
+            # A string's beginning is a context of its own, even if no text's byte ends it.
+            codes = np.unique(np.concatenate((codes & mask, codes >> np.uint64(8)))) if size <= order else codes
             table = np.zeros((len(codes), width))
-            np.add.at(table, (place, lang), count)
-            levels.append((codes, table))
+            np.add.at(table, (np.searchsorted(codes, code & mask), lang), count)
+            levels.insert(0, (codes, table))
         symbols = levels[0][0].astype(np.int64)
         symbol = np.zeros(256, np.int64)
         symbol[symbols] = np.arange(1, len(symbols) + 1)

@@ -71,7 +71,7 @@ class Features:
         for size in range(2, max(self.sizes) + 1):
             code = (code[:-1] << np.uint64(8)) | data[size - 1 :] if len(code) > 1 else code[:0]
             if size in self.sizes:
-                slot = ((code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
+                slot = ((code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size << 60))
                         >> self.shift).astype(np.int64)
                 whole = np.ones(len(slot), bool)
                 for back in range(1, size):
