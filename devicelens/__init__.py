@@ -7,7 +7,6 @@ sources/    logical-table readers (catalog or parquet) and adapters from the
 functions/  business rules and scalar column builders (dates, text)
 operators/  reusable relational building blocks (ranking, joins, audits)
 plans/      the end-to-end jobs (sales report, placement tracing, depot metrics)
-streaming/  incremental entry points
 """
 
 from devicelens.session import get_session

@@ -1,8 +1,8 @@
 """Relational building blocks shared by the jobs."""
 
 from devicelens.operators.audit import key_multiplicity, union_audits
-from devicelens.operators.joins import after_latest, bounded, latest_per_key
+from devicelens.operators.joins import after_latest, latest_per_key, repeat_rows
 from devicelens.operators.rank import bucketed_rank, first_by_rank, with_rank
 
-__all__ = ["after_latest", "bounded", "bucketed_rank", "first_by_rank", "key_multiplicity",
+__all__ = ["after_latest", "bucketed_rank", "first_by_rank", "key_multiplicity",
            "latest_per_key", "union_audits", "with_rank"]

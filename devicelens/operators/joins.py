@@ -1,9 +1,7 @@
 """Join helpers.
 
 Dimension joins are left to Spark's size-based choice (static estimate,
-then AQE with the real shuffle size), except for tables whose row count is
-bounded by construction (code lookups, generated calendars), which
-:func:`bounded` marks for broadcast.
+then AQE with the real shuffle size); nothing is broadcast by a hint.
 """
 
 from __future__ import annotations
@@ -12,10 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table whose size is fixed by construction
-    (e.g. an event-code lookup or a calendar over a fixed span)."""
-    return F.broadcast(df)
+def repeat_rows(df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
+    """The row effect of ``df LEFT JOIN dim ON key = dim_key`` alone.
+
+    Only keys that ``dim`` holds more than once are joined, with their counts:
+    normally none, so a unique dimension costs the fact no shuffle.
+    """
+    repeats = (dim.groupBy(F.col(dim_key).alias("__key")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+               .where(F.col("__key").isNotNull() & (F.col("__n") > 1))
+               .select("__key", F.sequence(F.lit(1), F.col("__n")).alias("__copies")))
+    return (df.join(repeats, F.col(key) == F.col("__key"), "left")
+            .withColumn("__copy", F.explode_outer("__copies")).drop("__key", "__copies", "__copy"))
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from devicelens.functions import rules as R
 from devicelens.functions.dates import business_days, month_range, ts_lit
-from devicelens.operators.joins import after_latest, bounded, latest_per_key
+from devicelens.operators.joins import after_latest, latest_per_key
 from devicelens.sources.catalog import Tables
 
 
@@ -22,8 +22,8 @@ def _now(as_of):
 
 
 def _codes(t: Tables) -> DataFrame:
-    """Event-code lookup (a few hundred rows at most): broadcast."""
-    return bounded(t["event_codes"])
+    """Event-code lookup."""
+    return t["event_codes"]
 
 
 def _staff_at(t: Tables, sites) -> DataFrame:
@@ -51,10 +51,6 @@ def activity_rows(t: Tables, *, start="2024-11-01", end="2024-12-01", depots=R.D
          .select("BarCodeNumber", "EventCode", "SrcID", "DestID", "TimeStamp", "FK_UserId"))
     e = e.join(_codes(t).select("Code"), e.EventCode == F.col("Code"), "inner")
     staff = _staff_at(t, depots)
-    # Keep only events by depot staff *before* the device join's shuffle: a
-    # semi-join stays where it is written (inner joins may be reordered).
-    e = e.join(staff.select(F.col("UserId").alias("staff_user")),
-               e.FK_UserId == F.col("staff_user"), "left_semi")
     e = e.join(staff, e.FK_UserId == staff.UserId, "inner")
     q = t["devices"].select("DeviceCode", F.col("BarCodeNumber").alias("q_barcode"), "Make",
                             "Model", "Owner", "OwnerID", "DeviceType")
@@ -102,20 +98,15 @@ def pool_locations(t: Tables, pattern: str = "%pool%") -> DataFrame:
     return t["clients"].where(F.col("Name").ilike(pattern)).select("ID", "Name").distinct()
 
 
-def locations_like(t: Tables, pattern: str) -> DataFrame:
-    """Distinct (ID, Name) of clients whose name matches ``pattern``."""
-    return pool_locations(t, pattern)
-
-
-def lookup(t: Tables, table: str, predicate, n: int = 100, order_by=None) -> DataFrame:
+def lookup(t: Tables, table: str, predicate, order_by, n: int = 100) -> DataFrame:
     """First ``n`` rows of a logical table matching ``predicate`` (a Column).
 
-    Rows are ordered by ``order_by`` (default: the first column) so the
-    answer does not depend on partitioning; Spark plans this as a top-k
+    Rows are ordered by ``order_by``, a unique key of the table (one column
+    or several), so the rows kept are fixed; Spark plans this as a top-k
     (TakeOrderedAndProject), each task keeping at most ``n`` rows.
     """
     df = t[table].where(predicate)
-    keys = [order_by] if isinstance(order_by, str) else list(order_by or [df.columns[0]])
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
     return df.orderBy(*keys).limit(n)
 
 

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from devicelens.functions import rules as R
 from devicelens.functions.dates import month_label, month_name, ts_lit
-from devicelens.operators.joins import bounded
 from devicelens.operators.rank import bucketed_rank, first_by_rank
 from devicelens.sources.catalog import Tables
 
@@ -48,12 +47,12 @@ def _events_of_make(t: Tables, *, make: str, sources, code) -> DataFrame:
     e = e.where(F.col("SrcID").isin(list(sources)))
     if code is not None:
         e = e.where(F.col("EventCode") == F.lit(code))
-    q = (t["devices"].where(F.col("Make").like(make))
+    q = (t["devices"].where(F.col("Make").ilike(make))
          .select("DeviceUID", "SerialNumber", "DeviceCode", "Make", "Model", "Owner", "OwnerID",
                  "DeviceType"))
     # The make predicate turns the device left join into an inner join.
     e = e.join(q, e.FK_DeviceId == q.DeviceUID, "inner")
-    e1 = bounded(t["event_codes"])
+    e1 = t["event_codes"]
     return e.join(e1, e.EventCode == e1.Code, "left").drop("Code", "DeviceUID")
 
 
@@ -111,7 +110,7 @@ def po_bridge(t: Tables, devices: DataFrame | None = None) -> DataFrame:
 
 
 def _devices_of_make(t: Tables, make: str) -> DataFrame:
-    return t["devices"].where(F.col("Make").like(make)).select(F.col("DeviceUID").alias("FK_DeviceId"))
+    return t["devices"].where(F.col("Make").ilike(make)).select(F.col("DeviceUID").alias("FK_DeviceId"))
 
 
 def _enrich(t: Tables, a: DataFrame, make: str) -> DataFrame:

@@ -5,22 +5,21 @@ Shape of :func:`biomed_sales`, in join order:
 * fact lines limited to the selected fiscal months by the implied range of
   period ids (a literal range the fact's scan can use), then joined to:
 * the order-level biomed dimension, enriched *before* it meets the fact:
-  device index, price list and rent calendar hang off its device code and
-  billing text, and those join predicates reject NULL, so
-  ``fact ⟕ bmd ⟕ x`` equals ``fact ⟕ (bmd ⟕ x)``; joined on the sale id,
-  which reuses the fact's clustering by order key;
-* customers (the one fact shuffle at scale, while rows are still narrow),
-  then the bounded calendar (broadcast), items, GL, transaction-type and
-  manager dimensions (Spark picks broadcast or shuffle by size; AQE
-  re-checks at runtime);
-* the specialist name attached to the lines (exact, see
-  :func:`transactions`), so no shuffle follows the aggregation;
-* the raw-group GROUP BY and the DISTINCT over it as one aggregation keyed
-  by the printed labels, with map-side partial aggregation (see
-  :func:`transactions`): a single shuffle, and a hot report row is
-  pre-summed per map task.
-
-Money is summed exactly as DECIMAL and published as DOUBLE.
+  device index and rent calendar hang off its device code and billing text,
+  and those join predicates reject NULL, so ``fact LEFT JOIN bmd LEFT JOIN x``
+  equals ``fact LEFT JOIN (bmd LEFT JOIN x)``;
+* customers while the rows are still narrow, then calendar, items, GL and
+  transaction types; each is broadcast or shuffled by its size. At scale the
+  fact is shuffled by order, customer and item;
+* dimensions the report joins only for their row effect (price list, second
+  GL account, manager, second period) cost a join with their repeated keys
+  alone, which are normally none (``operators.joins.repeat_rows``);
+* one exchange by a few report keys that no single value fills, then the
+  raw-group GROUP BY and the DISTINCT over it, both inside that partitioning;
+* the specialist names last: nothing stands above that join, so a bill-to
+  customer with very many report rows can be split.
+
+Money stays DECIMAL.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from devicelens.functions import rules as R
 from devicelens.functions.dates import date_lit, rent_start
 from devicelens.operators.audit import key_multiplicity, union_audits
-from devicelens.operators.joins import bounded
+from devicelens.operators.joins import repeat_rows
 from devicelens.operators.materialize import checkpointed
 from devicelens.sources.catalog import Tables
 
@@ -83,21 +82,21 @@ def customer_bill_to(t: Tables) -> DataFrame:
 
 def biomed_dimension(t: Tables) -> DataFrame:
     """Order-level biomed rows with device index, price-list matches and the
-    rent-start fiscal month attached (all keyed off the order row)."""
+    rent-start fiscal month attached (all keyed off the order row). A billing
+    text without a readable date has a NULL date; ``unreadable_rent_starts``
+    lists those."""
     bmd = t["biomed_sales"]
     di = t["device_index"].select(F.col("DEVICE_CODE").alias("di_code"), "TYPE",
                                   F.col("DEVICE_GROUP_LVL_1").alias("RAW_GROUP_LVL_1"),
                                   F.col("DEVICE_GROUP_LVL_2").alias("RAW_GROUP_LVL_2"))
-    # Joined only for its row effect (a repeated item/org multiplies lines).
-    tpl = (t["price_list"].where(F.col("PLTORG") == "OT")
-           .select(F.col("PLY553PLITM").alias("tpl_item")))
-    rentcal = bounded(t["period"]).select(F.col("DT").alias("rent_dt"),
-                                          F.col("FISC_YR_MTH_NUM").alias("RENT_FISC_YR_MTH_NUM"))
+    rentcal = t["period"].select(F.col("DT").alias("rent_dt"),
+                                 F.col("FISC_YR_MTH_NUM").alias("RENT_FISC_YR_MTH_NUM"))
     b = bmd.withColumn("RENT_START_DT", rent_start(F.col("BILL_START_END")))
-    return (b.join(di, b.DEVICE_CD == di.di_code, "left")
-            .join(tpl, b.DEVICE_CD == tpl.tpl_item, "left")
-            .join(rentcal, b.RENT_START_DT == rentcal.rent_dt, "left")
-            .drop("di_code", "tpl_item", "rent_dt"))
+    joined = (b.join(di, b.DEVICE_CD == di.di_code, "left")
+              .join(rentcal, b.RENT_START_DT == rentcal.rent_dt, "left")
+              .drop("di_code", "rent_dt"))
+    # A price-list item listed several times for the org multiplies its lines.
+    return repeat_rows(joined, "DEVICE_CD", t["price_list"].where(F.col("PLTORG") == "OT"), "PLY553PLITM")
 
 
 def period_id_range(t: Tables, min_fiscal_month: str):
@@ -109,7 +108,7 @@ def period_id_range(t: Tables, min_fiscal_month: str):
 
 
 def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
-                period_key_unique: bool = True, derive_date_range: bool = True) -> DataFrame:
+                derive_date_range: bool = True) -> DataFrame:
     """Fact lines since ``min_fiscal_month`` of biomed orders or biomed
     accounts, with every attribute and classification the report groups by
     (raw device groups kept as RAW_GROUP_LVL_1/2) and the per-line measure
@@ -125,8 +124,6 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
         rng = period_id_range(t, min_fiscal_month)
         s = (s.where(F.col("DIM_GL_DT_ID").between(F.lit(rng[0]), F.lit(rng[1])))
              if rng else s.where(F.lit(False)))
-    # The order-level dimension first: the fact is clustered by its sale id
-    # (order key), so a sort-merge join here needs no new fact shuffle.
     bmd = biomed_dimension(t).select(
         F.col("DIM_BIOMED_SLS_ID"), "REF_NUM", "DEVICE_CD", "ASSET_ID", "REPAIR_TKT_NUM", "TYPE",
         "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2", "RENT_FISC_YR_MTH_NUM")
@@ -137,28 +134,23 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
     cus = customer_bill_to(t).withColumnRenamed("DIM_CUST_CURR_ID", "cus_id")
     j = (j.join(cus, j.DIM_CUST_CURR_ID == cus.cus_id, "left")
          .where((F.col("BIOMED_FLG") == "Y") | (F.col("BIOMED_ACCT_FLG") == "Y")))
-    cal = (bounded(t["period"]).where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
+    cal = (t["period"].where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
            .select(F.col("DIM_PERIOD_ID").alias("cal_id"), *CAL_COLUMNS))
     j = j.join(cal, j.DIM_GL_DT_ID == cal.cal_id, "inner")
-    if not period_key_unique:
-        # The GL period is joined twice (inner and as calendar); with a
-        # repeated key the second join multiplies rows again.
-        p = bounded(t["period"]).select(F.col("DIM_PERIOD_ID").alias("p_id"))
-        j = j.join(p, j.DIM_GL_DT_ID == p.p_id, "inner").drop("p_id")
+    # The source joins the period twice: a repeated id multiplies rows again.
+    j = repeat_rows(j, "DIM_GL_DT_ID", t["period"], "DIM_PERIOD_ID")
     i = t["items"].select(F.col("DIM_ITEM_E1_CURR_ID").alias("i_id"), "ITEM_E1_NUM", "ITEM_DSC",
                           "PARNT_SUPLR_NAME", "PRMRY_UOM", "PROD_SUB_CTGRY_LVL4_DSC",
                           "PRMRY_TO_SELL_DIVISOR", "STNDRD_COST_AMT")
     j = j.join(i, j.DIM_ITEM_E1_CURR_ID == i.i_id, "inner")
     gls = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("gls_id"),
                                   F.col("OBJ_ACCT_CD").alias("GLS_OBJ_ACCT_CD"))
-    glc = t["gl_accounts"].select(F.col("DIM_GL_ACCT_ID").alias("glc_id"))
     tt = t["trans_types"].select(F.col("DIM_TRANS_TYPE_ID").alias("tt_id"), "LINE_TYPE_CD",
                                  "LINE_TYPE_DSC", "ORDR_TYPE_CD", "ORDR_TYPE_DSC")
-    ae = t["account_managers"].select(F.col("DIM_ACCT_MGR_CURR_ID").alias("ae_id"))
     j = (j.join(gls, j.DIM_SLS_GL_ACCT_ID == gls.gls_id, "left")
-         .join(glc, j.DIM_COGS_GL_ACCT_ID == glc.glc_id, "left")
-         .join(tt, j.DIM_TRANS_TYPE_ID == tt.tt_id, "left")
-         .join(ae, j.DIM_ACCT_MGR_CURR_ID == ae.ae_id, "left"))
+         .join(tt, j.DIM_TRANS_TYPE_ID == tt.tt_id, "left"))
+    j = repeat_rows(j, "DIM_COGS_GL_ACCT_ID", t["gl_accounts"], "DIM_GL_ACCT_ID")
+    j = repeat_rows(j, "DIM_ACCT_MGR_CURR_ID", t["account_managers"], "DIM_ACCT_MGR_CURR_ID")
 
     item, sub = F.col("ITEM_E1_NUM"), F.col("PROD_SUB_CTGRY_LVL4_DSC")
     line, cust = F.col("LINE_TYPE_CD"), F.col("CUST_E1_NUM")
@@ -184,53 +176,45 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
     )
 
 
-def _money(c: Column) -> Column:
-    return c.cast("double")
+UOM_SCALE = 6
 
 
-def _measure_inputs(with_uom_cost: bool):
-    """(name, aggregate, per-line value) of each report measure, in order."""
+def uom_cost_sum() -> Column:
+    """Sum of cost per primary unit, rounded once after the sum (zero divisor: 0; NULL: skipped)."""
+    divisor = F.col(DIVISOR_KEY)
+    return F.round(F.sum(F.when(divisor == 0, F.lit(0)).otherwise(F.col("STNDRD_COST_AMT") / divisor)), UOM_SCALE)
+
+
+def measures(with_uom_cost: bool) -> list[Column]:
+    """The report's measures, in order."""
     item, net, cost = F.col("ITEM_E1_NUM"), F.col("EXT_NET_SLS_AMT"), F.col("GL_COST")
     zero = F.lit(0)
     oem = F.when(item == F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
     non_oem = F.when(item != F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
-    out = [("TTL_DEVICE_QTY", F.count, F.col("ASSET_ID"))]
-    if with_uom_cost:
-        divisor = F.col(DIVISOR_KEY)
-        per_uom = F.when(divisor == 0, zero).otherwise(
-            (F.col("STNDRD_COST_AMT") / divisor).cast("decimal(38,6)"))
-        out.append(("PRIMARY_UOM_COST", F.sum, per_uom))
-    out += [
-        ("STNDRD_COST_AMT", F.sum, F.col("STNDRD_COST_AMT")),
-        ("OEM_FEES", F.sum, oem),
-        ("SERVICE_FEES", F.sum, F.when(item.isin(list(R.SERVICE_FEE_ITEMS)), net).otherwise(zero)),
-        ("GL_SELL_GP", F.sum, net - cost),
-        ("GL_COGS", F.sum, cost),
-        ("SLS_OEM_FEES", F.sum, oem),
-        ("SLS_EXCL_OEM_FEES", F.sum, non_oem),
-        ("GL_SELL_GP_EXCL_OEM_FEES", F.sum, non_oem - cost),
-        ("NET_SLS", F.sum, net),
+    service = F.when(item.isin(list(R.SERVICE_FEE_ITEMS)), net).otherwise(zero)
+    named = [
+        ("TTL_DEVICE_QTY", F.count("ASSET_ID")),
+        *([("PRIMARY_UOM_COST", uom_cost_sum())] if with_uom_cost else []),
+        ("STNDRD_COST_AMT", F.sum("STNDRD_COST_AMT")),
+        ("OEM_FEES", F.sum(oem)),
+        ("SERVICE_FEES", F.sum(service)),
+        ("GL_SELL_GP", F.sum(net - cost)),
+        ("GL_COGS", F.sum(cost)),
+        ("SLS_OEM_FEES", F.sum(oem)),
+        ("SLS_EXCL_OEM_FEES", F.sum(non_oem)),
+        ("GL_SELL_GP_EXCL_OEM_FEES", F.sum(non_oem - cost)),
+        ("NET_SLS", F.sum(net)),
     ]
-    return out
-
-
-# Output measures that repeat another measure's expression exactly
-# (``item IN (x)`` and ``item = x``): aggregated once, published twice.
-MEASURE_COPIES = {"SLS_OEM_FEES": "OEM_FEES"}
+    return [value.alias(name) for name, value in named]
 
 
-def _publish(name: str, fn, value: Column) -> Column:
-    """Counts stay integral; money (exact DECIMAL sums) is published as DOUBLE."""
-    return (value if fn is F.count else _money(value)).alias(name)
-
-
-def _measures(with_uom_cost: bool) -> list[Column]:
-    return [_publish(n, fn, fn(v)) for n, fn, v in _measure_inputs(with_uom_cost)]
+# Report keys the rows are dealt by: part of every grouping below, and no
+# single combination of their values holds many lines.
+DEALT_BY = ("ORDR_NUM", "INV_NUM", "ITEM_E1_NUM", "DEVICE_CD")
 
 
 def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost: bool = True,
-                 merge_other: bool = False, period_key_unique: bool = True,
-                 specialists: DataFrame | None = None) -> DataFrame:
+                 merge_other: bool = False) -> DataFrame:
     """Aggregated, de-duplicated transactions.
 
     Device groups are grouped by their *raw* values and labelled afterwards,
@@ -238,76 +222,37 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
     that print alike, and the DISTINCT merges such rows only when every
     measure is equal. ``merge_other=True`` groups by the label (sums them).
 
-    Plan: one aggregation keyed by the *labels*, with map-side partial
-    aggregation (a report row that sums a large share of lines is
-    pre-summed per map task). Only NULL and ``Other`` collide under a label,
-    so a label group holds at most four raw variants (NULL or not, per
-    level); the aggregate keeps each variant's row count and measures, and
-    the variants present are emitted with equal measure tuples merged. That
-    is GROUP BY raw values followed by DISTINCT, with one shuffle instead of
-    two.
-
-    ``specialists`` (BILL_TO_CUST_NUM, ACCT_MGR_EMPLY_ID, ACCT_MGR_NAME,
-    distinct) is left-joined to the *lines* and carried as extra group keys.
-    The bill-to number is a group key, so every (group, specialist) has the
-    same lines and sums as the group alone: this equals joining the
-    specialists after the DISTINCT, one row per specialist, without another
-    shuffle of the aggregated rows. The employee id is dropped at the end,
-    so two specialists of one name still give two rows.
+    The lines are dealt once by ``DEALT_BY``; GROUP BY and DISTINCT both
+    contain those keys, so neither needs an exchange of its own.
     """
-    lines = sales_lines(t, min_fiscal_month=min_fiscal_month,
-                        period_key_unique=period_key_unique)
-    keys = [k for k in KEYS] + ([DIVISOR_KEY] if with_uom_cost else [])
-    extra = []
-    if specialists is not None:
-        sp = specialists.select(F.col("BILL_TO_CUST_NUM").alias("sp_bill_to"),
-                                F.col("ACCT_MGR_EMPLY_ID").alias("SP_EMPLY_ID"),
-                                F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
-        lines = lines.join(sp, lines.BILL_TO_CUST_NUM == sp.sp_bill_to, "left")
-        extra = ["SP_EMPLY_ID", "BIOMED_SPECIALIST_NAME"]
-    names = [n for n, _, _ in _measure_inputs(with_uom_cost)]
-    inputs = [m for m in _measure_inputs(with_uom_cost) if m[0] not in MEASURE_COPIES]
-    if merge_other:
-        agg = lines.groupBy(*keys, *extra).agg(*[_publish(n, fn, fn(v)) for n, fn, v in inputs])
-    else:
-        variant = (F.when(F.col("RAW_GROUP_LVL_1").isNull(), F.lit(0)).otherwise(F.lit(2))
-                   + F.when(F.col("RAW_GROUP_LVL_2").isNull(), F.lit(0)).otherwise(F.lit(1)))
-        lines = lines.withColumn("__variant", variant)
-        parts = []
-        for v in range(4):
-            is_v = F.col("__variant") == F.lit(v)
-            parts.append(F.count(F.when(is_v, F.lit(1))).alias(f"__rows{v}"))
-            parts += [fn(F.when(is_v, value)).alias(f"{n}__{v}") for n, fn, value in inputs]
-        per_variant = lines.groupBy(*keys, *extra).agg(*parts)
-        present = F.filter(
-            F.array(*[F.when(F.col(f"__rows{v}") > 0,
-                             F.struct(*[F.col(f"{n}__{v}").alias(n) for n, _, _ in inputs]))
-                      for v in range(4)]),
-            lambda m: m.isNotNull())
-        agg = (per_variant
-               .select(*keys, *extra, F.explode(F.array_distinct(present)).alias("__m"))
-               .select(*keys, *extra,
-                       *[_publish(n, fn, F.col(f"__m.{n}")) for n, fn, _ in inputs]))
-    measures = [F.col(MEASURE_COPIES[n]).alias(n) if n in MEASURE_COPIES else F.col(n)
-                for n in names]
-    out = agg.select(*keys[:13],
-                     R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
-                     *keys[13:], *measures, *extra)
-    return out.drop("SP_EMPLY_ID")
+    lines = sales_lines(t, min_fiscal_month=min_fiscal_month).repartition(*DEALT_BY)
+    keys = [*KEYS, *([DIVISOR_KEY] if with_uom_cost else [])]
+    raw = [] if merge_other else ["RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2"]
+    grouped = lines.groupBy(*keys, *raw).agg(*measures(with_uom_cost)).drop(*raw)
+    names = [c for c in grouped.columns if c not in keys]
+    return grouped.select(*keys[:13], R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
+                          *keys[13:], *names).distinct()
 
 
 def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
-                 with_uom_cost: bool = True, merge_other: bool = False,
-                 period_key_unique: bool = True) -> DataFrame:
+                 with_uom_cost: bool = True, merge_other: bool = False) -> DataFrame:
     """The biomed sales transactions report with the specialist name.
 
     ``with_uom_cost=False`` gives the published-view variant (no divisor key,
     no UOM cost). A bill-to customer with several specialists repeats its
     rows, once per specialist.
     """
-    return transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=with_uom_cost,
-                        merge_other=merge_other, period_key_unique=period_key_unique,
-                        specialists=biomed_rep(t, as_of=as_of))
+    rows = transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=with_uom_cost,
+                        merge_other=merge_other)
+    names = biomed_rep(t, as_of=as_of).select(F.col("BILL_TO_CUST_NUM").alias("sp_bill_to"),
+                                              F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
+    return rows.join(names, rows.BILL_TO_CUST_NUM == names.sp_bill_to, "left").drop("sp_bill_to")
+
+
+def publish_table(df: DataFrame, name: str = "BIOMED_SALES_QUERY") -> DataFrame:
+    """Publish a report as a catalog table that other sessions can read; an existing one is replaced."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def publish_view(df: DataFrame, name: str = "BIOMED_SALES_QUERY", global_view: bool = False):
@@ -323,35 +268,50 @@ def publish_view(df: DataFrame, name: str = "BIOMED_SALES_QUERY", global_view: b
 # Smaller reports over the same lines
 # ---------------------------------------------------------------------------
 
+# What the line-level reports read of a sales line.
+LINE_COLUMNS = ("SALES_TYPE", "CONSOL_SALES_TYPE", "FISC_YR_MTH_NUM", "PRMRY_UOM", DIVISOR_KEY, "ITEM_E1_NUM",
+                "ASSET_ID", "STNDRD_COST_AMT", "EXT_NET_SLS_AMT", "GL_COST")
+
+
 def sales_type_mix(t: Tables, *, min_fiscal_month: str = "202400",
                    lines: DataFrame | None = None) -> DataFrame:
     """Line count and net sales per sales type and consolidated type."""
     lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return (lines
-            .groupBy("SALES_TYPE", "CONSOL_SALES_TYPE")
-            .agg(F.count(F.lit(1)).alias("LINE_COUNT"),
-                 _money(F.sum("EXT_NET_SLS_AMT")).alias("NET_SLS")))
+    return (lines.groupBy("SALES_TYPE", "CONSOL_SALES_TYPE")
+            .agg(F.count(F.lit(1)).alias("LINE_COUNT"), F.sum("EXT_NET_SLS_AMT").alias("NET_SLS")))
 
 
 def gl_measures(t: Tables, *, min_fiscal_month: str = "202400",
                 lines: DataFrame | None = None) -> DataFrame:
     """Fee and GL measures per fiscal month."""
     lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return lines.groupBy("FISC_YR_MTH_NUM").agg(*_measures(False))
+    return lines.groupBy("FISC_YR_MTH_NUM").agg(*measures(False))
 
 
 def uom_cost(t: Tables, *, min_fiscal_month: str = "202400",
              lines: DataFrame | None = None) -> DataFrame:
-    """Primary-UOM cost per unit of measure and divisor (zero divisor -> 0,
-    NULL divisor skipped)."""
-    divisor = F.col(DIVISOR_KEY)
-    per_uom = F.when(divisor == 0, F.lit(0)).otherwise(
-        (F.col("STNDRD_COST_AMT") / divisor).cast("decimal(38,6)"))
+    """Primary-UOM cost per unit of measure and divisor."""
     lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return (lines
-            .groupBy("PRMRY_UOM", DIVISOR_KEY)
-            .agg(_money(F.sum(per_uom)).alias("PRIMARY_UOM_COST"),
-                 F.count(F.lit(1)).alias("LINE_COUNT")))
+    return (lines.groupBy("PRMRY_UOM", DIVISOR_KEY)
+            .agg(uom_cost_sum().alias("PRIMARY_UOM_COST"), F.count(F.lit(1)).alias("LINE_COUNT")))
+
+
+def unreadable_rent_starts(t: Tables) -> DataFrame:
+    """Order rows per shape of billing text that holds a text but no readable start date.
+
+    The original raises on these; the report keeps the GL month for them.
+    """
+    shape = F.regexp_replace("BILL_START_END", "[0-9]", "9").alias("BILL_SHAPE")
+    return (t["biomed_sales"].where(F.col("BILL_START_END").isNotNull() & (F.col("BILL_START_END") != "*")
+                                    & rent_start(F.col("BILL_START_END")).isNull())
+            .groupBy(shape).agg(F.count(F.lit(1)).alias("ROW_COUNT")))
+
+
+def check_rent_starts(t: Tables) -> None:
+    """Strict mode: raise, as the original does, if any billing text is unreadable."""
+    first = unreadable_rent_starts(t).orderBy(F.desc("ROW_COUNT"), "BILL_SHAPE").first()
+    if first is not None:
+        raise ValueError(f"billing texts like {first['BILL_SHAPE']!r} hold no readable date ({first['ROW_COUNT']} rows)")
 
 
 def rent_adjusted_month(t: Tables) -> DataFrame:
@@ -373,22 +333,29 @@ def other_group_semantics(t: Tables, *, min_fiscal_month: str = "202400",
     effect of grouping by raw values (NULL and ``Other`` separately)."""
     tx = transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=False,
                       merge_other=merge_other)
-    # NET_SLS is an exact 4-decimal amount published as DOUBLE: sum it as
-    # DECIMAL so the total does not depend on the order of addition.
-    net = F.col("NET_SLS").cast("decimal(38,4)")
     return (tx.groupBy("DEVICE_GROUP_LVL_1", "DEVICE_GROUP_LVL_2")
-            .agg(F.count(F.lit(1)).alias("ROW_COUNT"), _money(F.sum(net)).alias("NET_SLS")))
+            .agg(F.count(F.lit(1)).alias("ROW_COUNT"), F.sum("NET_SLS").alias("NET_SLS")))
 
 
-def join_key_audit(t: Tables) -> DataFrame:
-    """Repeated join keys of the dimensions the sales and placement jobs
-    join to (each repeat multiplies fact rows)."""
+def join_key_audit(t: Tables, *, as_of=None) -> DataFrame:
+    """Repeated join keys of the dimensions the jobs join to (each repeat
+    multiplies rows)."""
     audits = [
         key_multiplicity(t["biomed_sales"], "DIM_BIOMED_SLS_ID", "V_DIM_BIOMED_SLS"),
         key_multiplicity(t["price_list"].where(F.col("PLTORG") == "OT"), "PLY553PLITM",
                          "SRC_E1_MMS_F55413PL"),
         key_multiplicity(t["device_index"], "DEVICE_CODE", "MR_DEVICE_INDEX"),
         key_multiplicity(t["period"], "DT", "V_DIM_PERIOD"),
+        key_multiplicity(t["period"], "DIM_PERIOD_ID", "V_DIM_PERIOD id"),
+        key_multiplicity(t["gl_accounts"], "DIM_GL_ACCT_ID", "V_DIM_GL_ACCT"),
+        key_multiplicity(t["trans_types"], "DIM_TRANS_TYPE_ID", "V_DIM_TRANS_TYPE"),
+        key_multiplicity(biomed_rep(t, as_of=as_of), "BILL_TO_CUST_NUM", "specialists"),
+        key_multiplicity(t["devices"], "BarCodeNumber", "qryDevices barcode"),
+        key_multiplicity(t["devices"], "DeviceUID", "qryDevices uid"),
+        key_multiplicity(t["clients"], "ID", "Clients id"),
+        key_multiplicity(t["clients"], "PK_ClientId", "Clients key"),
+        key_multiplicity(t["associates"], "UserId", "Associates"),
+        key_multiplicity(t["event_codes"], "Code", "EventCodes"),
         key_multiplicity(t["account_managers"], "DIM_ACCT_MGR_CURR_ID", "V_DIM_ACCT_MGR_CURR"),
         key_multiplicity(t["customers_blend"], "DIM_CUST_CURR_ID", "V_DIM_CUST_E1_BLEND_CURR"),
         key_multiplicity(t["items"], "DIM_ITEM_E1_CURR_ID", "V_DIM_ITEM_E1_CURR"),
@@ -402,12 +369,12 @@ def sales_reports(t: Tables, *, min_fiscal_month: str = "202400",
                   materialize: bool = True) -> dict[str, DataFrame]:
     """The line-level reports computed from one set of sales lines.
 
-    With ``materialize`` the lines (the 12-join enrichment) are checkpointed
-    once in the shared checkpoint folder and every report reads them,
+    With ``materialize`` the columns they need are checkpointed once in the
+    shared checkpoint folder and every report reads them,
     instead of each report re-running the joins; the checkpoint also cuts
     the lineage, so a lost executor only recomputes from the saved lines.
     """
-    lines = sales_lines(t, min_fiscal_month=min_fiscal_month)
+    lines = sales_lines(t, min_fiscal_month=min_fiscal_month).select(*LINE_COLUMNS)
     if materialize:
         lines = checkpointed(lines)
     return {

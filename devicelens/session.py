@@ -11,8 +11,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings applied to every session we build. On a cluster the operator's
-# own spark-defaults take precedence for anything set there.
+# Applied where neither the operator (spark-defaults, spark-submit) nor the
+# caller has set the key.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -21,39 +21,44 @@ DEFAULT_CONF = {
     # AQE re-checks against the real shuffle size at runtime.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # The sales report aggregates ~45 keys with per-variant measure buffers;
-    # above the default 100 fields Spark drops whole-stage codegen for it.
-    "spark.sql.codegen.maxFields": "400",
-    # Python call-site capture for error messages costs a stack walk and a
-    # conf lookup per Column function while plans are built.
+}
+# Local sessions only (tests, bench): no web page, one time zone, and no
+# Python call-site capture (a static key) while plans are built.
+LOCAL_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.session.timeZone": "UTC",
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "devicelens", extra_conf: dict | None = None) -> SparkSession:
+    own = dict(LOCAL_CONF) if (master or "").startswith("local") else {}
+    own.update(extra_conf or {})
+    if shuffle_partitions:
+        own["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in {**DEFAULT_CONF, **(extra_conf or {})}.items():
+    for k, v in own.items():
         builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in DEFAULT_CONF.items():
+        if k not in own and not given.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's shared checkpoint folder.
+    """The session's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as-is. Only when it is unset (local tests) do we pick a scratch folder.
+    ``spark.checkpoint.dir`` names it on a cluster. A scratch folder is made
+    only where that is unset on a local master; elsewhere an unset folder is
+    an error, because a machine-local one would not be seen by all executors.
     """
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
@@ -61,9 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="devicelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

@@ -29,7 +29,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from devicelens.sources.catalog import Tables
 
@@ -81,6 +80,7 @@ ORDER_TYPES = ("SO", "SR", "SE")
 ORDER_TYPE_NAMES = ("Sales Order", "Rental Order", "Exchange Order")
 MANAGER_TYPES = ("EBO", "PBO", "ISR")
 CUSTOMER_BASE = 65296440
+FLAGGED_ACCOUNT = "66050515"
 CALENDAR_START = dt.date(1992, 1, 1)
 CALENDAR_END = dt.date(2030, 12, 31)
 FISCAL_START_MONTH = 4
@@ -178,7 +178,7 @@ def clients(nation: DataFrame, customer: DataFrame) -> DataFrame:
 
 def devices(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
-    make = (F.when(key % 6 == 0, F.lit("Breas"))
+    make = (F.when(key % 12 == 6, F.lit("BREAS")).when(key % 6 == 0, F.lit("Breas"))
             .when(key % 6 == 3, F.lit("Breas Medical"))
             .when(key % 3 == 1, F.lit("Philips"))
             .otherwise(F.lit("Baxter")))
@@ -198,9 +198,8 @@ def devices(customer: DataFrame) -> DataFrame:
 
 
 def event_codes(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("Code", T.IntegerType()),
-                           T.StructField("Description", T.StringType())])
-    return spark.createDataFrame(list(EVENT_CODES), schema)
+    rows = ", ".join(f"({code}, '{text}')" for code, text in EVENT_CODES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(Code, Description)")
 
 
 def oem_info(part: DataFrame) -> DataFrame:
@@ -235,7 +234,8 @@ def po_receipts(orders: DataFrame) -> DataFrame:
 
 
 def import_history(orders: DataFrame) -> DataFrame:
-    return orders.select(
+    imported = (F.col("o_orderkey") % 13 != 0) & (F.col("o_custkey") % 9 != 0)
+    return orders.where(imported).select(
         F.col("o_orderkey").alias("E1PurchaseOrderReceiptId"),
         F.col("o_custkey").alias("FK_DeviceId"),
         F.concat(F.lit("loader"), _str(F.col("o_orderkey") % 5)).alias("CreatedBy"),
@@ -286,26 +286,30 @@ def _yyyymmdd(d: Column) -> Column:
 def fact_sales(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     price = _dec(F.col("l_extendedprice"), 12, 2)
     net = _dec(price * (F.lit(1) - _dec(F.col("l_discount"), 4, 2)), 18, 4)
-    line = F.col("l_linenumber")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    # The first three lines of an order share item, day, manager and type, so
+    # report rows sum several lines.
+    alike = line <= 3
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                          "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
                          "l_linestatus", "l_shipdate")
-    o = orders.select(F.col("o_orderkey"), F.col("o_custkey"))
+    o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     return li.join(o, li.l_orderkey == o.o_orderkey, "inner").select(
         F.col("l_orderkey").alias("SLS_ID"),
-        _str(F.col("l_orderkey")).alias("ORDR_NUM"),
-        F.concat(F.lit("INV"), _str(F.col("l_orderkey")), F.lit("-"), _str(line)).alias("INV_NUM"),
-        F.when(F.col("l_orderkey") % 2 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("BIOMED_FLG"),
-        F.col("o_custkey").alias("DIM_CUST_CURR_ID"),
-        _yyyymmdd(F.col("l_shipdate")).alias("DIM_GL_DT_ID"),
-        F.col("l_partkey").alias("DIM_ITEM_E1_CURR_ID"),
-        F.col("l_suppkey").alias("DIM_ACCT_MGR_CURR_ID"),
+        _str(order).alias("ORDR_NUM"),
+        F.concat(F.lit("INV"), _str(order),
+                 F.when(alike, F.lit("")).otherwise(F.concat(F.lit("-"), _str(line)))).alias("INV_NUM"),
+        F.when(order % 2 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("BIOMED_FLG"),
+        F.when(order % 17 != 0, F.col("o_custkey")).alias("DIM_CUST_CURR_ID"),
+        _yyyymmdd(F.when(alike, F.col("o_orderdate")).otherwise(F.col("l_shipdate"))).alias("DIM_GL_DT_ID"),
+        F.when(alike, order % 150 + 1).otherwise(F.col("l_partkey")).alias("DIM_ITEM_E1_CURR_ID"),
+        F.when(alike, F.col("o_custkey") % 10).otherwise(F.col("l_suppkey")).alias("DIM_ACCT_MGR_CURR_ID"),
         (F.when(F.col("l_returnflag") == "R", F.lit(0))
          .when(F.col("l_returnflag") == "A", F.lit(1)).otherwise(F.lit(2)))
         .cast("long").alias("DIM_SLS_GL_ACCT_ID"),
         F.when(F.col("l_linestatus") == "O", F.lit(3)).otherwise(F.lit(4))
          .cast("long").alias("DIM_COGS_GL_ACCT_ID"),
-        ((F.col("l_orderkey") + line) % 25).cast("long").alias("DIM_TRANS_TYPE_ID"),
+        ((order + F.when(alike, F.lit(0)).otherwise(line)) % 25).cast("long").alias("DIM_TRANS_TYPE_ID"),
         net.alias("EXT_NET_SLS_AMT"),
         F.when(line != 7, _dec(price * F.lit(0.25).cast("decimal(2,2)"), 18, 4))
          .alias("EXT_SELL_GP_FIN_AMT"),
@@ -348,7 +352,7 @@ def items(part: DataFrame) -> DataFrame:
     item = (F.when(slot == 39, F.lit(None).cast("string"))
             .when(slot < len(SPECIAL_ITEMS), _pick(SPECIAL_ITEMS, slot))
             .otherwise(_str(key + 3000000)))
-    divisor = F.when(key % 11 != 0, _dec(_pick((0, 1, 2, 4), F.col("p_size") % 4), 18, 4))
+    divisor = F.when(key % 11 != 0, _dec(_pick((0, 1, 3, 7), F.col("p_size") % 4), 18, 4))
     return part.select(
         key.alias("DIM_ITEM_E1_CURR_ID"),
         item.alias("ITEM_E1_NUM"),
@@ -413,7 +417,8 @@ def account_managers(supplier: DataFrame) -> DataFrame:
 
 
 def _cust_num(key: Column) -> Column:
-    return _str(key + CUSTOMER_BASE)
+    """Customer number; key 50 bills to the flagged account."""
+    return F.when(key == 50, F.lit(FLAGGED_ACCOUNT)).otherwise(_str(key + CUSTOMER_BASE))
 
 
 def _bill_to_key(key: Column) -> Column:
@@ -441,78 +446,48 @@ def customers_blend(customer: DataFrame) -> DataFrame:
 
 
 def multi_rep(customer: DataFrame) -> DataFrame:
+    """One territory per customer, and a second one for every bill-to customer."""
     key = F.col("c_custkey")
-    return customer.select(
-        _cust_num(key).alias("CMAN8"),
-        _str(F.col("c_nationkey")).alias("CMSLSM"),
-        F.when(key % 2 == 0, F.lit("2030-12-31").cast("date"))
-         .otherwise(F.lit("2020-12-31").cast("date")).alias("CMSTMEDT"),
-    )
+    end = (F.when(key % 2 == 0, F.lit("2030-12-31").cast("date"))
+           .otherwise(F.lit("2020-12-31").cast("date")).alias("CMSTMEDT"))
+    first = customer.select(_cust_num(key).alias("CMAN8"), _str(F.col("c_nationkey")).alias("CMSLSM"), end)
+    second = customer.where(key % 10 == 0).select(
+        _cust_num(key).alias("CMAN8"), _str((F.col("c_nationkey") + 1) % 25).alias("CMSLSM"), end)
+    return first.unionByName(second)
 
 
 def price_list(part: DataFrame) -> DataFrame:
+    """Every ninth listed item is listed twice."""
     key = F.col("p_partkey")
-    return part.select(_str(key).alias("PLY553PLITM"),
+    once = part.select(_str(key).alias("PLY553PLITM"),
                        F.when(key % 2 == 0, F.lit("OT")).otherwise(F.lit("CA")).alias("PLTORG"))
+    twice = part.where(key % 18 == 0).select(_str(key).alias("PLY553PLITM"), F.lit("OT").alias("PLTORG"))
+    return once.unionByName(twice)
 
 
 def device_index(part: DataFrame) -> DataFrame:
-    size = F.col("p_size")
-    return part.select(
-        _str(F.col("p_partkey")).alias("DEVICE_CODE"),
-        F.col("p_type").alias("TYPE"),
-        F.when(size % 4 == 1, F.lit("Other")).when(size % 4 == 2, F.lit("Pumps"))
-         .when(size % 4 == 3, F.lit("Respiratory")).alias("DEVICE_GROUP_LVL_1"),
-        F.when(size % 3 == 1, F.lit("Other")).when(size % 3 == 2, F.lit("Enteral"))
-         .alias("DEVICE_GROUP_LVL_2"),
-    )
+    """Device codes without a first-level group are, for every fifth part, also listed as ``Other``."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    level2 = F.when(size % 3 == 1, F.lit("Other")).when(size % 3 == 2, F.lit("Enteral")).alias("DEVICE_GROUP_LVL_2")
+    level1 = (F.when(size % 4 == 1, F.lit("Other")).when(size % 4 == 2, F.lit("Pumps"))
+              .when(size % 4 == 3, F.lit("Respiratory")))
+    listed = part.select(_str(key).alias("DEVICE_CODE"), F.col("p_type").alias("TYPE"),
+                         level1.alias("DEVICE_GROUP_LVL_1"), level2)
+    again = part.where((size % 4 == 0) & (key % 5 == 0)).select(
+        _str(key).alias("DEVICE_CODE"), F.col("p_type").alias("TYPE"), F.lit("Other").alias("DEVICE_GROUP_LVL_1"), level2)
+    return listed.unionByName(again)
 
 
 # ---------------------------------------------------------------------------
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                 "events")
-# Driver files that grow with the scale factor, with their key. Each is one
-# file with a single row group, which Spark reads with one task; the adapter
-# hash-partitions them by key once, right after the scan. Hash (not
-# round-robin) partitioning is deterministic, so a retried task rebuilds the
-# same partitions without a pre-sort; filters and column pruning still reach
-# the parquet reader through the repartition.
-SPREAD_TABLES = {"customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey",
-                 "lineitem": "l_orderkey", "events": "event_id"}
-
-
-def _parallelism(spark: SparkSession) -> int | None:
-    """Partition count for the spread tables: the session's shuffle
-    partition count (at most four per core), so a later join on the same key
-    (e.g. the fact with the order-level dimension) can keep this
-    partitioning instead of re-shuffling the fact."""
-    try:
-        cores = spark.sparkContext.defaultParallelism  # no SparkContext: do not spread
-        return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
-    except Exception:
-        return None
-
-
-def _partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:
-        return 1 << 30  # unknown: do not spread
-
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All logical tables, derived from the driver parquet files in ``sf_dir``."""
     raw_cache: dict[str, DataFrame] = {}
 
-    parallelism = _parallelism(spark)
-
     def raw(name: str) -> DataFrame:
         if name not in raw_cache:
-            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            if name in SPREAD_TABLES and parallelism and _partitions(df) < parallelism:
-                df = df.repartition(parallelism, SPREAD_TABLES[name])
-            raw_cache[name] = df
+            raw_cache[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return raw_cache[name]
 
     loaders = {

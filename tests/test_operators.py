@@ -1,12 +1,15 @@
 """Reusable operators: latest-per-key, after-latest, key audit, lookup, sources."""
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from devicelens.operators.audit import key_multiplicity
 from devicelens.operators.joins import after_latest, latest_per_key
 from devicelens.plans import depot as D
+from devicelens.session import ensure_checkpoint_dir
 from devicelens.sources import LOGICAL_TABLES, catalog_tables, jdbc_tables
 
 
@@ -34,7 +37,7 @@ def test_key_multiplicity_reports_repeated_keys_only(spark):
 
 
 def test_lookup_is_ordered_top_n(driver_t):
-    df = D.lookup(driver_t, "clients", F.col("PK_ClientId") >= 0, n=3, order_by="PK_ClientId")
+    df = D.lookup(driver_t, "clients", F.col("PK_ClientId") >= 0, "PK_ClientId", n=3)
     assert [r.PK_ClientId for r in df.collect()] == [0, 1, 2]
 
 
@@ -46,8 +49,35 @@ def test_readers_are_lazy(spark):
     assert set(j) == set(LOGICAL_TABLES)   # nothing is read until a table is used
 
 
-def test_publish_view_is_queryable(spark, driver_t):
-    from devicelens.plans import sales as S
-    S.publish_view(S.group_name_trim(driver_t), "TRIMMED_GROUPS")
-    n = spark.sql("SELECT count(*) FROM TRIMMED_GROUPS WHERE MSTR_GRP_NAME_TRIM NOT LIKE 'BIO%'")
-    assert n.first()[0] == driver_t["customers_blend"].count()
+def test_session_keeps_what_the_operator_set():
+    """In a process of its own: settings of spark-submit survive, others get our defaults."""
+    import subprocess
+    import sys
+
+    code = ("from devicelens.session import get_session; s = get_session('local[1]'); "
+            "print(s.conf.get('spark.sql.autoBroadcastJoinThreshold'), s.conf.get('spark.sql.files.maxPartitionBytes'))")
+    env = dict(os.environ, PYSPARK_SUBMIT_ARGS="--conf spark.sql.autoBroadcastJoinThreshold=77 pyspark-shell")
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120,
+                         cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()
+    assert out[-2:] == ["77", str(128 * 1024 * 1024)]
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

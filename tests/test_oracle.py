@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import digest, duck
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, own_jobs
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = own_jobs(entry.queries())
+ORACLE = own_jobs(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

@@ -115,7 +115,7 @@ def test_raw_group_distinct_merges_null_and_other(driver_t, spark):
     assert base.count() == raw.count() == merged.count()
     same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
     assert same(raw) == same(base)
-    total = lambda df: df.agg(F.sum("NET_SLS")).first()[0]
+    total = lambda df: float(df.agg(F.sum("NET_SLS")).first()[0] or 0)
     assert abs(total(merged) - 2 * total(base)) < 1e-6 * abs(total(base))
 
 
@@ -138,13 +138,13 @@ def _reference_transactions(t, min_fiscal_month):
     DISTINCT (no specialists, no UOM cost)."""
     lines = S.sales_lines(t, min_fiscal_month=min_fiscal_month)
     keys = list(S.KEYS)
-    agg = lines.groupBy(*keys, "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2").agg(*S._measures(False))
-    names = [n for n, _, _ in S._measure_inputs(False)]
+    agg = lines.groupBy(*keys, "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2").agg(*S.measures(False))
+    names = [c for c in agg.columns if c not in (*keys, "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2")]
     return agg.select(*keys[:13], S.R.group_name_trim(F.col("MSTR_GRP_NAME"))
                       .alias("MSTR_GRP_NAME_TRIM"), *keys[13:], *names).distinct()
 
 
-def test_variant_aggregation_equals_group_by_raw_then_distinct(driver_t):
+def test_dealt_aggregation_equals_group_by_raw_then_distinct(driver_t):
     """Device codes listed as NULL twice and Other once: the NULL variant has
     twice the measures, so both rows survive the DISTINCT."""
     di = driver_t["device_index"]
@@ -173,12 +173,77 @@ def test_event_history_for_serials_equals_filtered_full_history(driver_t):
 def test_repeated_price_list_key_multiplies_lines(driver_t):
     """H3: a price-list item listed twice for the OT org joins every line of
     that device twice, so its sums double; other devices are unchanged."""
-    pl = driver_t["price_list"]
+    pl = driver_t["price_list"].distinct()
+    driver_t = driver_t.override(price_list=pl)
     t2 = driver_t.override(price_list=pl.unionByName(pl))
     kw = dict(min_fiscal_month="199500", with_uom_cost=False)
     base, dup = S.transactions(driver_t, **kw), S.transactions(t2, **kw)
     ot = [r.PLY553PLITM for r in pl.where(F.col("PLTORG") == "OT").collect()]
-    total = lambda df: df.agg(F.sum("NET_SLS")).first()[0] or 0.0
+    total = lambda df: float(df.agg(F.sum("NET_SLS")).first()[0] or 0)
     hit = total(base.where(F.col("DEVICE_CD").isin(ot)))
     assert hit > 0
     assert abs(total(dup) - (total(base) + hit)) < 1e-6 * total(base)
+
+
+def test_fixture_exercises_the_report(driver_t):
+    """Groups of several lines, DISTINCT merges, two specialists on a bill-to,
+    lines without customer and of the flagged account."""
+    kw = dict(min_fiscal_month="199500")
+    lines = S.sales_lines(driver_t, **kw)
+    keys = list(S.KEYS)
+    groups = lines.groupBy(*keys, "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2").count()
+    assert groups.count() < lines.count()
+    assert S.transactions(driver_t, with_uom_cost=False, **kw).count() < groups.count()
+    assert S.biomed_rep(driver_t, as_of="2025-03-03").groupBy("BILL_TO_CUST_NUM").count().where("count > 1").count() > 0
+    assert lines.where("DIM_CUST_CURR_ID IS NULL").count() > 0
+    assert lines.where(F.col("BILL_TO_CUST_NUM").isin(list(S.R.PPPM_BILL_TO))).count() > 0
+
+
+def test_repeated_period_id_multiplies_lines_twice(driver_t):
+    """The source joins the period twice, so an id listed twice gives four rows a line."""
+    once = S.sales_lines(driver_t, min_fiscal_month="199500")
+    day = once.join(driver_t["fact_sales"].select("INV_NUM", "DIM_GL_DT_ID"), "INV_NUM").first()["DIM_GL_DT_ID"]
+    period = driver_t["period"]
+    twice = driver_t.override(period=period.unionByName(period.where(F.col("DIM_PERIOD_ID") == day).withColumn("DT", F.lit(None).cast("date"))))
+    hit = driver_t["fact_sales"].where(F.col("DIM_GL_DT_ID") == day).select("INV_NUM")
+    before = once.join(hit.distinct(), "INV_NUM", "left_semi").count()
+    after = S.sales_lines(twice, min_fiscal_month="199500").join(hit.distinct(), "INV_NUM", "left_semi").count()
+    other = once.count() - before
+    assert S.sales_lines(twice, min_fiscal_month="199500").count() == other + after and after > before
+
+
+def test_unreadable_rent_starts_are_counted_and_strict_mode_raises(driver_t):
+    import pytest
+
+    assert sum(r.ROW_COUNT for r in S.unreadable_rent_starts(driver_t).collect()) > 0
+    with pytest.raises(ValueError, match="99/99/999"):
+        S.check_rent_starts(driver_t)
+    S.check_rent_starts(driver_t.override(biomed_sales=driver_t["biomed_sales"].withColumn("BILL_START_END", F.lit("01/02/2024"))))
+
+
+def test_make_matches_in_any_case(driver_t):
+    from devicelens.plans import devices as V
+    makes = {r.Make for r in V.ranked_events(driver_t).select("Make").distinct().collect()}
+    assert {"BREAS", "Breas"} <= makes
+
+
+def test_published_table_is_read_by_another_session(spark, driver_t):
+    report = S.group_name_trim(driver_t)
+    S.publish_table(report, "TRIMMED_GROUP_TABLE")
+    other = spark.newSession()
+    assert other.table("TRIMMED_GROUP_TABLE").count() == report.count()
+    spark.sql("DROP TABLE TRIMMED_GROUP_TABLE")
+
+
+def test_unit_cost_is_rounded_after_the_sum(spark):
+    df = spark.sql("SELECT CAST(3 AS DECIMAL(18,4)) AS PRMRY_TO_SELL_DIVISOR, CAST(0.0001 AS DECIMAL(18,4)) AS STNDRD_COST_AMT "
+                   "FROM range(30000)")
+    assert float(df.agg(S.uom_cost_sum().alias("x")).first().x) == 1.0
+
+
+def test_repeat_rows_equals_the_left_join(spark):
+    from devicelens.operators.joins import repeat_rows
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, v string")
+    dim = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,)], "id int")
+    want = sorted(r.v for r in left.join(dim, left.k == dim.id, "left").collect())
+    assert sorted(r.v for r in repeat_rows(left, "k", dim, "id").collect()) == want

@@ -21,7 +21,7 @@ def _where(table, cond):
     ("associates", lambda: _count("supplier")),
     ("repair_tickets", lambda: _where("events", "event_type = 'error'")),
     ("po_receipts", lambda: _count("orders")),
-    ("import_history", lambda: _count("orders")),
+    ("import_history", lambda: _where("orders", "o_orderkey % 13 <> 0 AND o_custkey % 9 <> 0")),
     ("fact_sales", lambda: _count("lineitem")),
     ("items", lambda: _count("part")),
     ("biomed_sales", lambda: _count("orders")),
