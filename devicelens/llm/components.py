@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from devicelens.llm.common import materialize
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``links(a, b)``; component is its smallest node."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(node, component)`` for every node of ``links(a, b)``; component is its smallest node.
+
+    With ``rounds`` it stops early: equal components are then surely
+    connected, different ones may be.
+    """
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), "links")
-    state = None
+    state, done = None, 0
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -27,9 +31,15 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        done += 1
+        if done == rounds:
+            # A node may still lie under several others; any one of them is connected to it.
+            links = links.groupBy("a").agg(F.min("b").alias("b"))
+            break
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
+    tops = links.select(F.col("b").alias("a")).distinct().join(links, "a", "left_anti")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        tops.select(F.col("a").alias("node"), F.col("a").alias("component")))

@@ -5,14 +5,16 @@ link when ``den * |intersection| >= num * |union|``. All links that matter for
 connectivity between different token sets are found; equal sets are one class
 from the start.
 
-1. A fixed-size counting sketch over all documents gives tokens a common order,
-   rarest first. Linked sets must share one of their first
+1. A fixed-size counting sketch of the words of all documents gives tokens a
+   common order, those with the rarest word first: an n-gram is no more
+   frequent than its rarest word, and there are far fewer words than n-grams
+   to count. Linked sets must share one of their first
    ``n - ceil(t n) + 1`` tokens, so sets none of whose first tokens occur in
    another set's are done.
-2. Grouping: the remaining sets are grouped by similarity. Sets agreeing in one
-   of a few min-hashes are compared with the smallest of them; links found
-   this way make groups whose members are connected already, however many
-   there are, at a few comparisons a set.
+2. Grouping: the remaining sets are grouped by similarity. Sets that share a
+   min-hash are compared with one drawn among them, in a few rounds; links
+   found this way make groups whose members are connected already, however
+   many there are, at a few comparisons a set.
 3. Token-group matrix: groups are stored in blocks of bounded size, each with
    the union of its members' tokens. The matrix's first-token rows
    ``(token, block)`` give each set the blocks of *other* groups that could
@@ -48,29 +50,41 @@ from devicelens.llm.components import components
 
 SKETCH_SLOTS = 1 << 20
 SKETCH_BLOCK = 1 << 14
-MIN_HASHES = 6
-BLOCK_MEMBERS = 64
+MIN_HASHES, AGREEING = 8, 5  # of a pair that is compared early
+BLOCK_MEMBERS = 16
+STAR_ROUNDS = 3  # of comparing sets with heads of their min-hash buckets
 
 
-def _text_tokens(column, n: int, hasher: WordHasher) -> Iterator[np.ndarray]:
-    """The n-gram hashes of each text, in order and with repeats."""
+def _text_words(column, hasher: WordHasher) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
     for _, _, data, offsets in text_slices(column):
         words, bounds = hasher(data, offsets)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            yield shingle_hashes(words[lo:hi], n)
+            yield words[lo:hi]
 
 
-def _sketch(docs: DataFrame, n: int, text: str) -> np.ndarray:
-    """Token counts by slot, over all documents; a fixed number of slots."""
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(SKETCH_SLOTS)).astype(np.int64)
+
+
+def _rarity(words: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
+    """For each n-gram of the words the count of its rarest word."""
+    count = counts[_slots(words)]
+    size = min(n, len(words))
+    out = count[: len(words) - size + 1]
+    for i in range(1, size):
+        out = np.minimum(out, count[i : len(words) - size + 1 + i])
+    return out
+
+
+def _sketch(docs: DataFrame, text: str) -> np.ndarray:
+    """Word counts by slot, over all documents; a fixed number of slots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = WordHasher(space_words()), np.zeros(SKETCH_SLOTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                words, bounds = hasher(data, offsets)
-                if len(words) >= n:
-                    tokens = shingle_hashes(words, n)  # a few span two texts: the order is no result
-                    total += np.bincount((tokens % np.uint64(SKETCH_SLOTS)).astype(np.int64), minlength=SKETCH_SLOTS)
+                total += np.bincount(_slots(hasher(data, offsets)[0]), minlength=SKETCH_SLOTS)
         parts = total.reshape(-1, SKETCH_BLOCK)
         if total.any():
             yield pa.RecordBatch.from_arrays(
@@ -98,22 +112,21 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
     """Per row: size and digest of its token set, min-hashes and first tokens."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n, text))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
     salts = (np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = WordHasher(space_words()), sketch.value
         for batch in batches:
             sizes, digests, keys, first = [], [], [], []
-            for tokens in _text_tokens(batch.column(2), n, hasher):
-                tokens = np.unique(tokens)
+            for words in _text_words(batch.column(2), hasher):
+                tokens, at = np.unique(shingle_hashes(words, n), return_index=True)
                 size = len(tokens)
                 sizes.append(size)
                 digests.append(_digest(tokens))
                 if size:
-                    rank = order[(tokens % np.uint64(SKETCH_SLOTS)).astype(np.int64)]
                     many = size - -(-num * size // den) + 1
-                    first.append(tokens[np.lexsort((tokens, rank))[:many]].view(np.int64))
+                    first.append(tokens[np.lexsort((tokens, _rarity(words, n, order)[at]))[:many]].view(np.int64))
                     keys.append((tokens[:, None] * salts).min(0).view(np.int64))
                 else:
                     first.append(np.zeros(0, np.int64))
@@ -141,8 +154,8 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: s
         for batch in batches:
             rep, hi, lo = (batch.column(i).to_pylist() for i in range(3))
             out = []
-            for i, tokens in enumerate(_text_tokens(batch.column(3), n, hasher)):
-                tokens = np.unique(tokens)
+            for i, words in enumerate(_text_words(batch.column(3), hasher)):
+                tokens = np.unique(shingle_hashes(words, n))
                 if _digest(tokens) == (hi[i], lo[i]):  # another row may have the same id
                     out.append((rep[i], len(tokens), tokens.tobytes()))
             reps, sizes, blobs = zip(*out) if out else ((), (), ())
@@ -158,7 +171,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: s
 
 
 def _overlap(rows: DataFrame, keep) -> DataFrame:
-    """The long columns of ``rows`` where ``keep(overlap, *long columns)`` holds for binaries ``left`` and ``right``."""
+    """The long columns of ``rows`` and their ``overlap``, where ``keep(overlap, *long columns)`` holds for ``left`` and ``right``."""
     columns = [c for c in rows.columns if c not in ("left", "right")]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +179,10 @@ def _overlap(rows: DataFrame, keep) -> DataFrame:
             number = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in
                                zip(uint64_sets(batch.column(len(columns))), uint64_sets(batch.column(len(columns) + 1)))], np.int64)
             values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
-            yield batch.select(columns).filter(pa.array(keep(number, *values), pa.bool_()))
+            kept = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(number)], [*columns, "overlap"])
+            yield kept.filter(pa.array(keep(number, *values), pa.bool_()))
 
-    return rows.select(*columns, "left", "right").mapInArrow(test, ", ".join(f"{c} long" for c in columns))
+    return rows.select(*columns, "left", "right").mapInArrow(test, ", ".join(f"{c} long" for c in (*columns, "overlap")))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -201,56 +215,116 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     alone = rep_of.where("row_id = rep AND n > 0").select("rep")
 
     # First tokens that occur in several classes, and the classes that have one.
-    first = (rows.select(F.col("row_id").alias("rep"), "n", "first").join(alone, "rep", "left_semi")
+    first = (rows.select(F.col("row_id").alias("rep"), F.col("n").cast("int").alias("n"), "first").join(alone, "rep", "left_semi")
              .select("rep", "n", F.explode("first").alias("token")))
     shared = first.groupBy("token").agg(F.count(F.lit(1)).alias("in")).where(F.col("in") > 1).select("token")
     first = materialize(first.join(shared, "token"), "first")
     near = first.select("rep").distinct()
-    wanted = materialize(rep_of.where("row_id = rep").join(near, "rep", "left_semi").select("rep", "doc_id", "hi", "lo"), "wanted")
-    sets = _token_sets(docs, wanted, n, doc_id, text)
-
-    # Groups: every set is compared with the smallest one of each of its min-hashes.
-    keys = (rows.select(F.col("row_id").alias("rep"), "n", "keys").join(near, "rep", "left_semi")
-            .select("rep", "n", F.posexplode("keys").alias("i", "key")))
-    heads = keys.groupBy("i", "key").agg(F.min("rep").alias("head"), F.min_by("n", "rep").alias("head_n"))
-    stars = (keys.join(heads, ["i", "key"]).where(F.col("rep") != F.col("head"))
-             .where(_sizes_allow(F.col("n"), F.col("n"), F.col("head_n"), F.col("head_n"), num, den))
-             .select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
-    links = _linked(stars, sets, num, den)
-    grouped = components(links)
+
+    # Groups: sets that agree in most min-hashes with the head of one of their buckets are
+    # compared with it. This only finds links early; what it misses is found below.
+    keys = rows.select(F.col("row_id").alias("rep"), "n", "keys").join(near, "rep", "left_semi")
+    sets = links = grouped = tested = None
+    for turn in range(STAR_ROUNDS):
+        stars = _stars(keys, links, grouped, turn, num, den)
+        if tested is None:
+            stars = tested = materialize(stars, "stars")
+            fetched = materialize(stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), "fetched")
+            sets = _token_sets(docs, _classes(rep_of, fetched), n, doc_id, text)
+            keys = materialize(keys.join(fetched, "rep", "left_semi"), "keys")
+        else:
+            stars = materialize(stars.join(tested, ["a", "b"], "left_anti"), "stars")
+            tested = tested.unionByName(stars)
+        found = _linked(stars, sets, num, den)
+        links = found if links is None else links.unionByName(found)
+        grouped = components(links, rounds=1 if turn + 1 < STAR_ROUNDS else None)
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     group_of = materialize(
         near.join(grouped.join(sizes, "component"), near["rep"] == F.col("node"), "left")
         .select("rep", F.coalesce("component", "rep").alias("group"),
                 F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK_MEMBERS)).alias("block")), "groups")
 
-    # Token-group matrix: blocks of other groups that share a first token.
+    # Token-group matrix: blocks of other groups that share first tokens.
     placed = first.join(group_of, "rep")
     several = placed.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
     placed = materialize(placed.join(several, "token"), "placed")
-    matrix = placed.groupBy("token", F.col("group").alias("with_group"), F.col("block").alias("with_block")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = placed.select("token", F.col("group").alias("with_group"), F.col("block").alias("with_block")).distinct()
+    ranges = placed.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asked = (placed.select("token", F.col("rep").alias("a"), F.col("group").alias("own"), F.col("n").alias("n_a")).join(matrix, "token")
-             .where("own > with_group").where(_sizes_allow(F.col("n_a"), F.col("n_a"), F.col("low"), F.col("high"), num, den))
-             .select("a", "n_a", F.col("with_group").alias("group"), F.col("with_block").alias("block")).distinct())
+             .where("own > with_group").groupBy("a", "n_a", F.col("with_group").alias("group"), F.col("with_block").alias("block"))
+             .agg(F.count(F.lit(1)).alias("common")).join(ranges, ["group", "block"])
+             .where(_sizes_allow(F.col("n_a"), F.col("n_a"), F.col("low"), F.col("high"), num, den))
+             # Of two sets' tokens up to the end of the shorter prefix only the common first ones
+             # are equal; behind it that set has ceil(t n) - 1 more.
+             .where(F.expr(f"common + ceil({num}L * greatest(n_a, high) / {den}) - 1 >= ceil({num}L * (n_a + low) / {num + den})"))
+             .select("a", F.col("n_a").cast("long").alias("n_a"), "group", "block"))
     asked = materialize(asked, "asked")
-    members = sets.join(group_of, "rep")
-    open_blocks = asked.select("group", "block").distinct()
-    unions = _unions(members.join(open_blocks, ["group", "block"], "left_semi").select("group", "block", "tokens"))
-    bounded = (asked.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
+    open_members = materialize(group_of.join(asked.select("group", "block").distinct(), ["group", "block"], "left_semi"), "members")
+    more = asked.select(F.col("a").alias("rep")).union(open_members.select("rep")).distinct().join(fetched, "rep", "left_anti")
+    sets = sets.unionByName(_token_sets(docs, _classes(rep_of, more), n, doc_id, text))
+    # A block of one member is its own union; larger ones are opened only where the union
+    # qualifies, the most promising one of a group first: one link joins the whole group.
+    held = open_members.groupBy("group", "block").agg(F.count(F.lit(1)).alias("held"))
+    large = held.where("held > 1").select("group", "block")
+    unions = _unions(sets.join(open_members.join(large, ["group", "block"], "left_semi"), "rep").select("group", "block", "tokens"))
+    bounded = (asked.join(large, ["group", "block"], "left_semi").join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
                .join(unions, ["group", "block"]).select("a", "n_a", "group", "block", "left", "right"))
     qualified = materialize(_overlap(bounded, lambda both, a, size, g, b: den * both >= num * size), "qualified")
-    pairs = (qualified.join(group_of.withColumnRenamed("rep", "b"), ["group", "block"])
-             .join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
-             .where(_sizes_allow(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), num, den)).select("a", "b"))
-    across = _linked(pairs, sets, num, den)
-    merged = components(links.union(across))
+    best = qualified.groupBy("a", "group").agg(F.max(F.struct("overlap", "block")).alias("best")).select("a", "group", "best.block")
+    opened = best.unionByName(asked.join(large, ["group", "block"], "left_anti").select("a", "group", "block"))
+
+    def compared(chosen: DataFrame) -> DataFrame:
+        pairs = (chosen.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
+                 .join(open_members.withColumnRenamed("rep", "b"), ["group", "block"])
+                 .join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+                 .where(_sizes_allow(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), num, den)))
+        return _linked(pairs.select("a", "b"), sets, num, den)
+
+    across = compared(opened)
+    joined = across.join(group_of.withColumnRenamed("rep", "b"), "b").select("a", "group").distinct()
+    rest = qualified.select("a", "group", "block").join(best, ["a", "group", "block"], "left_anti").join(joined, ["a", "group"], "left_anti")
+    across = across.unionByName(compared(rest))
+    merged = components(links.unionByName(across))
 
     labelled = (rep_of.join(merged, rep_of["rep"] == F.col("node"), "left")
                 .select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
     return materialize(labelled, "components")
 
 
+def _stars(keys: DataFrame, links: DataFrame | None, grouped: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a set and the head of one of its min-hash buckets, not in one group yet.
+
+    Heads are drawn from the sets whose min-hashes are the most common in
+    their buckets and which linked with the most earlier heads: those lie in
+    the middle of a group of near copies. The draw differs between min-hashes
+    and turns.
+    """
+    if links is None:
+        own = keys.select("rep", "n", "keys", F.col("rep").alias("own"), F.lit(0).cast("long").alias("degree"))
+    else:
+        degree = links.groupBy(F.col("a").alias("rep")).agg(F.count_distinct("b").alias("degree"))
+        own = (keys.join(grouped, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
+               .select("rep", "n", "keys", F.coalesce("component", "rep").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    buckets = own.select("rep", "n", "keys", "own", "degree", F.posexplode("keys").alias("i", "key"))
+    sizes = buckets.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = buckets.join(sizes, ["i", "key"])
+    common = buckets.groupBy("rep").agg(F.sum("size").alias("common"))
+    buckets = buckets.join(common, "rep")
+    luck = 0.85 + F.pmod(F.xxhash64("rep", "i", F.lit(turn)), F.lit(1 << 20)) * (0.15 / (1 << 20))
+    drawn = F.struct((-(1 + F.col("degree")) * F.col("common") * luck).alias("order"), "rep", "n", "keys", "own")
+    heads = buckets.groupBy("i", "key").agg(F.min(drawn).alias("head"))
+    agree = F.aggregate(F.zip_with("keys", "head.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
+    return (buckets.join(heads, ["i", "key"]).where((F.col("own") != F.col("head.own")) & (agree >= AGREEING))
+            .where(_sizes_allow(F.col("n"), F.col("n"), F.col("head.n"), F.col("head.n"), num, den))
+            .select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct())
+
+
+def _classes(rep_of: DataFrame, reps: DataFrame) -> DataFrame:
+    """What identifies the given classes' texts: ``(rep, doc_id, hi, lo)``."""
+    chosen = rep_of.where("row_id = rep").join(reps, "rep", "left_semi").select("rep", "doc_id", "hi", "lo")
+    return materialize(chosen, "wanted")
+
+
 def _sizes_allow(low, high, other_low, other_high, num: int, den: int):
     """Whether sets of sizes in the two ranges can link at all."""
     return (other_high * den >= low * num) & (high * den >= other_low * num)
