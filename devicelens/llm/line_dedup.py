@@ -64,7 +64,8 @@ def remove_spread_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, doc_id:
     gone = (held.join(spread, "line").where("NOT (__id <=> keeper)").select("__id", "line").distinct()
             .groupBy("__id").agg(F.collect_list("line").alias("__gone")))
     gone = materialize(gone, "gone")
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]), "left").drop("__id")
+    # The removals grow with the documents: one plan at every size, never a broadcast.
+    joined = docs.join(gone.hint("merge"), docs[doc_id].eqNullSafe(gone["__id"]), "left").drop("__id")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("__gone", _key(x)), F.lit(False)))
     cut = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
     before = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text))))
