@@ -4,7 +4,8 @@ benchmark decontamination and packing.
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its
 predecessor kept; its result is written as Parquet and reread as the next
 one's ``docs``. All stages but the last return the columns of ``documents``.
-Rows that share an id are kept or dropped together; NULL ids are kept by the
+The filters on ids join with a merge hint: what they drop grows with the
+documents, so they follow one plan at every size. Rows that share an id are kept or dropped together; NULL ids are kept by the
 filters on ids; an empty table passes through.
 """
 
@@ -37,14 +38,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard_join.join_components(docs, n=5, num=80, den=100)
     kept = F.max(F.col("doc_id") == F.col("component_id"))
     gone = found.groupBy("doc_id").agg(kept.alias("kept")).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of the benchmark."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,9 +163,8 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: s
                                              ["rep", "n", "tokens"])
 
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    found = (texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "hi", "lo", "text")
+    # The classes grow with the documents: one plan at every size, never a broadcast.
+    found = (texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "hi", "lo", "text")
              .mapInArrow(sets, "rep long, n long, tokens binary"))
     return materialize(found.dropDuplicates(["rep"]), "sets")
 
