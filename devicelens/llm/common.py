@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Text bytes handled at once by vectorised steps; a longer text is a slice of its own.
@@ -178,3 +178,30 @@ def uint64_sets(column) -> list[np.ndarray]:
     offsets = np.frombuffer(buffers[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     return [np.frombuffer(data[lo:hi].tobytes(), np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:])]
+
+
+def labelled_sample(docs: DataFrame, per_class: int, *, labels: DataFrame | None = None, doc_id: str = "doc_id",
+                    text: str = "text", label: str = "label") -> tuple[DataFrame, dict[int, int]]:
+    """(sample, labelled rows per class): ``doc_id, label, text`` of at most ``per_class`` ids of each class.
+
+    Labels 0 and 1 come from ``labels`` or from ``docs`` itself; the ids with
+    the smallest hashes are taken. Only ids meet the labels; the texts are
+    then picked by the sample, whose size is bounded. Rows with a NULL id,
+    text or label are not used.
+    """
+    rows = docs.where(F.col(text).isNotNull())
+    if labels is None:
+        keys, pairs = ["doc_id", "label"], rows.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    else:
+        of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+        keys, pairs = ["doc_id"], rows.select(F.col(doc_id).alias("doc_id")).join(of, "doc_id")
+    pairs = pairs.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    sizes = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A window group limit keeps only the first rows of each class before the shuffle.
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = materialize(pairs.withColumn("place", F.row_number().over(first)).where(f"place <= {per_class}")
+                         .select("doc_id", "label").distinct(), "chosen")
+    named = {"doc_id": F.col(doc_id), "text": F.col(text)} | ({"label": F.col(label).cast("int")} if labels is None else {})
+    texts = rows.select(*[c.alias(k) for k, c in named.items()])
+    sample = texts.join(F.broadcast(chosen), keys).select("doc_id", "label", "text")  # at most 2 * per_class ids
+    return materialize(sample, "sample"), sizes

@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import WordHasher, crc32_remainder, mix64, space_words, text_slices
+from devicelens.llm.common import WordHasher, crc32_remainder, labelled_sample, space_words, text_slices
 
 SLOTS_LOG2 = 18
 SIZES = (2, 3, 4)
@@ -142,19 +142,15 @@ class SubwordClassifier:
         return 1 / (1 + np.exp(-np.clip(logit / np.maximum(number, 1) + self.intercept, -500, 500)))
 
 
-def fit_classifier(labelled: DataFrame, *, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text",
-                   label: str = "label") -> SubwordClassifier:
-    """From rows with text and 0/1 label (rows with a NULL in either are not used)."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    share = rows.agg(F.avg("label")).first()[0]
-    if share is None:
+def fit_classifier(docs: DataFrame, labels: DataFrame | None = None, *, per_class: int = PER_CLASS,
+                   doc_id: str = "doc_id", text: str = "text", label: str = "label") -> SubwordClassifier:
+    """From rows with text and a 0/1 label of their own or in ``labels`` (rows with a NULL are not used)."""
+    sample, sizes = labelled_sample(docs, per_class, labels=labels, doc_id=doc_id, text=text, label=label)
+    if not sizes:
         return SubwordClassifier(np.zeros(1 << SLOTS_LOG2, np.float32), 0.0)
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("label", "doc_id").withColumn("place", F.row_number().over(first)).where(f"place <= {per_class}")
-    sample = rows.join(F.broadcast(ids.select("label", "doc_id").distinct()), ["label", "doc_id"])  # bounded by the sample
-    got = sample.select("label", "text").orderBy("label", F.xxhash64("doc_id"), "text").collect()
-    return SubwordClassifier.fit([r["text"].encode() for r in got], [r["label"] for r in got], float(share))
+    got = sample.select("label", "text").orderBy("label", F.xxhash64("doc_id"), "text").collect()  # the bounded sample
+    return SubwordClassifier.fit([r["text"].encode() for r in got], [r["label"] for r in got],
+                                 sizes.get(1, 0) / sum(sizes.values()))
 
 
 def score_texts(docs: DataFrame, model: SubwordClassifier, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -181,5 +177,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", (crc32_remainder("doc_id", 5) == 0).alias("held_out"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    model = fit_classifier(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    model = fit_classifier(docs.where(~F.col("held_out")), labels)
     return score_texts(docs, model)

@@ -30,10 +30,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import crc32_remainder
+from devicelens.llm.common import crc32_remainder, labelled_sample
 
 PER_CLASS, ENTRIES, LEAST_TEXTS, LEAST_WEIGHT = 3000, 20_000, 4, 1.5
 PREFIX = 5  # letters of a word beginning
@@ -113,16 +113,12 @@ def _entries(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:PREFIX]}" for w in words if len(w) > PREFIX}
 
 
-def fit_lexicon(labelled: DataFrame, *, per_class: int = PER_CLASS, entries: int = ENTRIES,
+def fit_lexicon(docs: DataFrame, labels: DataFrame | None = None, *, per_class: int = PER_CLASS, entries: int = ENTRIES,
                 base: dict[str, float] | None = None, exceptions: list[str] | None = None,
                 doc_id: str = "doc_id", text: str = "text", label: str = "label") -> Lexicon:
-    """From rows with text and 0/1 label (rows with a NULL in either are not used)."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("label", "doc_id").withColumn("place", F.row_number().over(first)).where(f"place <= {per_class}")
-    sample = rows.join(F.broadcast(ids.select("label", "doc_id").distinct()), ["label", "doc_id"]).select("label", "text")
-    shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """From rows with text and a 0/1 label of their own or in ``labels`` (rows with a NULL are not used)."""
+    sample, shares = labelled_sample(docs, per_class, labels=labels, doc_id=doc_id, text=text, label=label)
+    sample = sample.select("label", "text")
     folder = Folder()
     given = Lexicon({f" {folder(w).strip()} ": v for w, v in (base or {}).items()},
                     [f" {folder(p).strip()} " for p in exceptions or []])
@@ -208,5 +204,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", (crc32_remainder("doc_id", 4) == 2).alias("held_out"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    lexicon = fit_lexicon(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    lexicon = fit_lexicon(docs.where(~F.col("held_out")), labels)
     return score_texts(docs, lexicon)
