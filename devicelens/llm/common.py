@@ -180,6 +180,20 @@ def uint64_sets(column) -> list[np.ndarray]:
     return [np.frombuffer(data[lo:hi].tobytes(), np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:])]
 
 
+def sample_hash(doc_id: str):
+    """A number below 2**31 by which samples are ordered."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 31))
+
+
+def in_reach(doc_id: str, size, wanted: int):
+    """Whether a row's hash is small enough to be among the first ``wanted`` of ``size`` rows.
+
+    Twice as many as wanted pass, so the ranking that follows meets a bounded
+    number of rows, however many there are.
+    """
+    return sample_hash(doc_id) < (2 * wanted + 100) / F.greatest(size, F.lit(1)) * float(1 << 31)
+
+
 def labelled_sample(docs: DataFrame, per_class: int, *, labels: DataFrame | None = None, doc_id: str = "doc_id",
                     text: str = "text", label: str = "label") -> tuple[DataFrame, dict[int, int]]:
     """(sample, labelled rows per class): ``doc_id, label, text`` of at most ``per_class`` ids of each class.
@@ -197,10 +211,12 @@ def labelled_sample(docs: DataFrame, per_class: int, *, labels: DataFrame | None
         keys, pairs = ["doc_id"], rows.select(F.col(doc_id).alias("doc_id")).join(of, "doc_id")
     pairs = pairs.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     sizes = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # A window group limit keeps only the first rows of each class before the shuffle.
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = materialize(pairs.withColumn("place", F.row_number().over(first)).where(f"place <= {per_class}")
-                         .select("doc_id", "label").distinct(), "chosen")
+    of_class = F.lit(0)
+    for value, n in sizes.items():
+        of_class = F.when(F.col("label") == value, n).otherwise(of_class)
+    first = Window.partitionBy("label").orderBy(sample_hash("doc_id"), "doc_id")
+    chosen = materialize(pairs.where(in_reach("doc_id", of_class, per_class)).withColumn("place", F.row_number().over(first))
+                         .where(f"place <= {per_class}").select("doc_id", "label").distinct(), "chosen")
     named = {"doc_id": F.col(doc_id), "text": F.col(text)} | ({"label": F.col(label).cast("int")} if labels is None else {})
     texts = rows.select(*[c.alias(k) for k, c in named.items()])
     sample = texts.join(F.broadcast(chosen), keys).select("doc_id", "label", "text")  # at most 2 * per_class ids

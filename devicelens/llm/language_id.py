@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import crc32_remainder, text_slices
+from devicelens.llm.common import crc32_remainder, in_reach, sample_hash, text_slices
 
 ORDER = 3
 # Bound of the labelled sample: texts of each language.
@@ -146,9 +146,10 @@ def fit_trees(docs: DataFrame, *, order: int = ORDER, per_language: int = PER_LA
     """Trees from labelled rows (NULL language or text: not used)."""
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # A window group limit keeps only the first rows of each language before the shuffle.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = ids.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(f"place <= {per_language}")
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("lang").orderBy(sample_hash("doc_id"), "doc_id")
+    sample = (ids.select("lang", "doc_id").join(sizes, "lang").where(in_reach("doc_id", F.col("n"), per_language))
+              .withColumn("place", F.row_number().over(first)).where(f"place <= {per_language}"))
     sample = F.broadcast(sample.select("lang", "doc_id").distinct())  # bounded by the sample
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
