@@ -4,9 +4,10 @@ benchmark decontamination and packing.
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its
 predecessor kept; its result is written as Parquet and reread as the next
 one's ``docs``. All stages but the last return the columns of ``documents``.
-The filters on ids join with a merge hint: what they drop grows with the
-documents, so they follow one plan at every size. Rows that share an id are kept or dropped together; NULL ids are kept by the
-filters on ids; an empty table passes through.
+Near copies and contamination are decided row by row, whatever the ids: rows
+are numbered once a stage, and the numbers found are taken out. These joins
+have a merge hint: what they drop grows with the documents, so they follow one
+plan at every size. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -15,7 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from devicelens.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from devicelens.llm.common import crc32_remainder, materialize
+from devicelens.llm.common import crc32_remainder, materialize, with_row_id
+
+
+def _fresh(name: str, docs: DataFrame) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(``docs`` with a fixed number of each row, that column's name)."""
+    row = _fresh("__row", docs)
+    return materialize(with_row_id(docs, row), "rows"), row
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose number is not among ``__gone``."""
+    return rows.join(gone.hint("merge"), F.col(row) == F.col("__gone"), "left_anti").select(*columns)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +53,21 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component under 5-word shingles and a similarity of 0.8."""
-    found = jaccard_join.join_components(docs, n=5, num=80, den=100)
-    kept = F.max(F.col("doc_id") == F.col("component_id"))
-    gone = found.groupBy("doc_id").agg(kept.alias("kept")).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The row with the least (id, row number) of each component under 5-word shingles and a similarity of 0.8."""
+    rows, row = numbered(docs)
+    rank = _fresh("__rank", rows)
+    # A row's rank stands for its id: ids first in order, NULL ids last, then the row.
+    ranked = rows.withColumn(rank, F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
+    found = jaccard_join.join_components(ranked, n=5, num=80, den=100, doc_id=rank)
+    gone = found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("__gone"))
+    return _without(rows, row, gone, docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any 10-word window of the benchmark."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Rows without any 10-word window of the benchmark."""
+    rows, row = numbered(docs)
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)
+    return _without(rows, row, found.where("contaminated").select(F.col("doc_id").alias("__gone")), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

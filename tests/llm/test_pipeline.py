@@ -54,3 +54,22 @@ def test_edge_rows_pass_through(spark, sf, make):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
     assert sorted((str(r.doc_id), r.n_chars) for r in docs.collect()) == sorted([("4", 16), ("4", 16), ("None", 15), ("5", 300_000)])
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark, sf, make):
+    base = " ".join(f"w{i}" for i in range(200))
+    near = base + " more"
+    rows = [(1, base), (1, base), (1, near), (None, base), (None, near), (2, near), (0, "other words in this one"), (1, "text of its own here"),
+            (None, "the same without an id"), (None, "the same without an id"), (3, ""), (3, ""), (None, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, make(rows, extra=True), sf).collect()]
+    assert [i for i, t in got if t in (base, near)] == [1]
+    assert sorted((x for x in got if x[1] not in (base, near)), key=str) == sorted(
+        [(0, "other words in this one"), (1, "text of its own here"), (None, "the same without an id"), (3, ""), (3, ""), (None, None)], key=str)
+
+
+def test_exactly_the_contaminated_rows_go(spark, sf, make):
+    window = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    rows = [(1, "before " + window), (1, "clean words"), (1, "clean words"), (None, window + " after"), (None, "clean too"), (2, None)]
+    got = corpus_pipeline.drop_contaminated(spark, make(rows, extra=True), sf)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, "clean words"), (1, "clean words"), (None, "clean too"), (2, None)], key=str)
