@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from devicelens.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from devicelens.llm.common import crc32_remainder, materialize, with_row_id
+from devicelens.llm.common import bound_arrow_batches, materialize, with_row_id
 
 
 def _fresh(name: str, docs: DataFrame) -> str:
@@ -38,10 +38,10 @@ def _without(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) ->
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without any letter (``und``) go."""
-    trees = language_id.fit_trees(docs.where(crc32_remainder("doc_id", 4) != 2))
-    found = language_id.identify(docs.select("doc_id", "text", "lang", "source", "n_chars"), trees)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    """Documents that the models of all labelled rows understand; those without any letter go too."""
+    trees = language_id.fit_trees(docs)
+    bound_arrow_batches(spark)
+    return docs.where(language_id.understood(F.col("text"), trees, spark))
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from devicelens.llm.common import crc32_remainder, in_reach, sample_hash, text_slices
@@ -37,6 +37,10 @@ ORDER = 3
 # Bound of the labelled sample: texts of each language.
 PER_LANGUAGE = 1500
 UNDETERMINED = "und"
+# A text is foreign to the models where the best language's code is longer than the text
+# itself by more than SPARE_BITS in all (a short text alone proves little), provided
+# that language was learned from LEAST_BYTES or more.
+MOST_BITS, SPARE_BITS, LEAST_BYTES = 8.0, 128.0, 250_000
 START = 10  # the byte that stands before a text
 
 
@@ -69,6 +73,7 @@ class ContextTrees:
     cost: np.ndarray  # (nodes, languages): bits of the node's last byte after its others
     escape: np.ndarray  # (context nodes, languages): bits of leaving the context
     order: int
+    learned: np.ndarray  # bytes seen of each language
 
     @classmethod
     def fit(cls, languages: list[str], lang: np.ndarray, code: np.ndarray, count: np.ndarray, order: int) -> ContextTrees:
@@ -112,7 +117,8 @@ class ContextTrees:
             own = np.where(table > 0, stay, leave[parent] + lower)
             cost[nodes] = own
             lower_codes, lower_cost = codes, own
-        return cls(languages, symbol, child, cost.astype(np.float32), escape.astype(np.float32), order)
+        return cls(languages, symbol, child, cost.astype(np.float32), escape.astype(np.float32), order,
+                   np.bincount(lang, count, width))
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths (texts, languages)."""
@@ -201,6 +207,29 @@ def identify(docs: DataFrame, trees: ContextTrees, *, text: str = "text") -> Dat
     return docs.select(*rest, letter.alias("__letter"), F.when(letter, F.col(text)).alias("__text")).mapInArrow(score, schema)
 
 
+def understood(text: Column, trees: ContextTrees, spark: SparkSession) -> Column:
+    """Whether ``text`` has a letter and isn't foreign to the models; with nothing learned the letter decides.
+
+    Only the text passes through Arrow, so the rows may have any other columns.
+    """
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    if not trees.languages:
+        return letter
+    model = spark.sparkContext.broadcast(vars(trees))  # plain arrays, bounded by the sample
+
+    def familiar(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trees = ContextTrees(**model.value)
+        for column in columns:
+            known = np.zeros(len(column), bool)
+            for lo, hi, data, offsets in text_slices(column, 1 << 20):
+                bits = trees.bits(data, offsets)
+                within = bits.min(1) <= MOST_BITS * np.diff(offsets) + SPARE_BITS
+                known[lo:hi] = within | (trees.learned[bits.argmin(1)] < LEAST_BYTES)
+            yield pa.array(known)
+
+    return letter & F.arrow_udf(familiar, "boolean")(F.when(letter, text))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document; a quarter of the ids is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", crc32_remainder("doc_id", 4) == 2)

@@ -1,7 +1,11 @@
 """The pipeline against a plain version of its stages."""
 
+import random
+import zlib
+
 import regex
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import test_decontaminate
@@ -73,3 +77,25 @@ def test_exactly_the_contaminated_rows_go(spark, sf, make):
     got = corpus_pipeline.drop_contaminated(spark, make(rows, extra=True), sf)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
         [(1, "clean words"), (1, "clean words"), (None, "clean too"), (2, None)], key=str)
+
+
+def test_texts_foreign_to_the_models_go(spark, make):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60))
+    foreign = [(-1, noise), (-2, "Все люди рождаются свободными и равными в своем достоинстве и правах."), (-3, "人人生而自由,在尊严和权利上一律平等。")]
+    short = [(-4, "zq")]
+    docs = clean.unionByName(make([(i, t, None, "x") for i, t in foreign + short], extra=False).select(*clean.columns))
+    got = {r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").select("doc_id").collect()}
+    assert not got & {-1, -2, -3} and -4 in got
+    assert {r.doc_id for r in clean.where(F.col("text").rlike(r"\p{L}")).collect()} <= got
+
+
+def test_nothing_learned_keeps_every_text_with_a_letter(spark, make):
+    rows = [(1, "some words"), (2, "слова"), (3, "12 !"), (4, ""), (5, None), (None, "x")]
+    assert [r.doc_id for r in corpus_pipeline.identify_languages(spark, make(rows, extra=False), "").collect()] == [1, 2, None]
+    # All labelled ids lie in the held-out fold of op5; too little is learned from them to reject anything.
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 == 2]
+    rows = [(i, f"label{i} words", "en") for i in held] + [(100, "qqq zzz xxx " * 40), (101, "7")]
+    got = corpus_pipeline.identify_languages(spark, make(rows, extra=False), "").collect()
+    assert sorted(r.doc_id for r in got) == [*held, 100]
