@@ -32,9 +32,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(with_row_id(docs, row), "rows"), row
 
 
-def _without(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows whose number is not among ``__gone``."""
-    return rows.join(gone.hint("merge"), F.col(row) == F.col("__gone"), "left_anti").select(*columns)
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not among ``__gone``, without their numbers."""
+    return rows.join(gone.hint("merge"), F.col(row) == F.col("__gone"), "left_anti").drop(row)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +60,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ranked = rows.withColumn(rank, F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
     found = jaccard_join.join_components(ranked, n=5, num=80, den=100, doc_id=rank)
     gone = found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("__gone"))
-    return _without(rows, row, gone, docs.columns)
+    return _without(rows, row, gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any 10-word window of the benchmark."""
     rows, row = numbered(docs)
     found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)
-    return _without(rows, row, found.where("contaminated").select(F.col("doc_id").alias("__gone")), docs.columns)
+    return _without(rows, row, found.where("contaminated").select(F.col("doc_id").alias("__gone")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import corpus_pipeline
 import test_decontaminate
 import test_jaccard_join
 import test_line_dedup
+from devicelens.llm.common import materialize
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,18 @@ def test_nothing_learned_keeps_every_text_with_a_letter(spark, make):
     rows = [(i, f"label{i} words", "en") for i in held] + [(100, "qqq zzz xxx " * 40), (101, "7")]
     got = corpus_pipeline.identify_languages(spark, make(rows, extra=False), "").collect()
     assert sorted(r.doc_id for r in got) == [*held, 100]
+
+
+def test_stages_take_extra_and_clashing_columns(spark, sf, make):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "12 !", "en", "b"), (4, "plain words here", "en", "b"),
+            (4, "other words there", "en", "b"), (None, "no id but words", "en", None), (5, "long text " * 3000, "de", "c")]
+    docs = make(rows, extra=True).withColumn("url", F.concat(F.lit("u/"), "text")).withColumn("lang_pred", F.lit("clash"))
+    docs = docs.withColumn("__row", F.lit("clash")).withColumn("__rank", F.lit("clash"))
+    columns, kept = docs.columns, sorted((str(r) for r in docs.where("text RLIKE '[a-z]'").collect()))
+    assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), sf).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        docs = materialize(docs, "tested")
+    assert sorted(str(r) for r in docs.collect()) == kept
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == {4, None, 5}
