@@ -13,7 +13,7 @@ from devicelens.llm import registry
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
