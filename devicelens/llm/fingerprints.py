@@ -12,7 +12,7 @@ Documents are dealt once, into ranges of their ids, each range in one
 partition in descending order: a document's successor (whose beginning its
 edited text takes) is the next row, and the first row of the following range
 is added behind each range. Words, weights and samples are then aggregated
-inside these partitions. Range bounds are approximate quantiles of the ids; no
+inside these partitions, and the texts are shuffled once. Range bounds are approximate quantiles of the ids; no
 partition depends on what texts hold.
 
 Edge cases: a NULL or empty text (or one without letters and digits) has an
@@ -84,6 +84,9 @@ def in_descending_ranges(docs: DataFrame, ranges: int, *, doc_id: str = "doc_id"
                                               "part int, o long, tie long, moved int")
     heads = (rows.join(F.broadcast(heads), ["part", "o", "tie"]).dropDuplicates(["part"])  # at most one row per range
              .select(F.col("moved").alias("part"), "o", "tie", "doc_id", "text"))
+    heads = materialize(heads, "heads")
+    # Never a NULL part or tie: then no plan over these rows filters them before the exchange, and plans can share it.
+    heads = heads.select(F.coalesce("part", F.lit(0)).alias("part"), "o", F.coalesce("tie", F.lit(0)).alias("tie"), "doc_id", "text")
     every = rows.withColumn("ghost", F.lit(False)).unionByName(heads.withColumn("ghost", F.lit(True)))
     line = Window.partitionBy("part").orderBy("ghost", F.desc("o"), "tie")
     return (every.repartition(ranges, "part")
@@ -123,16 +126,16 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, ranges: int | None
     ranges = ranges or RANGES_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     rows = in_descending_ranges(docs, ranges, doc_id=doc_id, text=text)
     both = rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    versions = both.select("part", "place", F.explode(F.when(F.col("ghost"), F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text"))))
-                                                      .otherwise(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")),
-                                                                         F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"))))).alias("v"))
-    signed = signatures(versions.select("part", "place", "v.version", "v.text"), ["part", "place", "version"], samples=samples)
-    signed = materialize(signed, "signatures")
-    own = signed.where("version = 0").select("part", "place", F.col("signature").alias("own"))
-    edited = signed.where("version = 1").select("part", "place", F.col("signature").alias("edit"))
+    # The signatures and the rows' other columns read the same exchange of the texts: neither prunes a column of it.
+    version = lambda i, c: F.struct(F.lit(i).alias("version"), F.col(c).alias("text"))
+    versions = both.select("part", "place", "doc_id", F.explode(F.when(F.col("ghost"), F.array(version(0, "text")))
+                                                                .otherwise(F.array(version(0, "text"), version(1, "edited")))).alias("v"))
+    signed = signatures(versions.select("part", "place", "doc_id", "v.version", "v.text"), ["part", "place", "doc_id", "version"], samples=samples)
+    of = lambda i: F.max(F.when(F.col("version") == i, F.col("signature")))
+    signed = signed.groupBy("part", "place").agg(of(0).alias("own"), of(1).alias("edit"))
     facts = both.select("part", "place", "ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    joined = facts.join(own, ["part", "place"], "left").join(edited, ["part", "place"], "left")
+    joined = facts.join(signed.hint("merge"), ["part", "place"], "left")
     following = F.lead("own").over(Window.partitionBy("part").orderBy("place"))
     return (joined.withColumn("following", following).where("NOT ghost")
             .select("doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("own")).alias("fingerprint"),
