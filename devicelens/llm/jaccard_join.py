@@ -5,12 +5,13 @@ link when ``den * |intersection| >= num * |union|``. All links that matter for
 connectivity between different token sets are found; equal sets are one class
 from the start.
 
-1. A fixed-size counting sketch of the words of all documents gives tokens a
-   common order, those with the rarest word first: an n-gram is no more
-   frequent than its rarest word, and there are far fewer words than n-grams
-   to count. Linked sets must share one of their first
-   ``n - ceil(t n) + 1`` tokens, so sets none of whose first tokens occur in
-   another set's are done.
+1. A fixed-size counting sketch of the n-grams of all documents gives tokens a
+   common order, the rarest first, so that a passage that unlike documents
+   share stands behind what is their own. Linked sets must share one of their
+   first ``n - ceil(t n) + 1`` tokens, and the smaller one holds it among its
+   first ``n - ceil(2 t n / (1 + t)) + 1``; sets none of whose first tokens
+   occur like that in another set are done. A slot's other n-grams only blur
+   the order.
 2. Grouping: the remaining sets are grouped by similarity. Sets that share a
    min-hash are compared with one drawn among them, in a few rounds; links
    found this way make groups whose members are connected already, however
@@ -20,7 +21,9 @@ from the start.
    ``(token, block)`` give each set the blocks of *other* groups that could
    hold a partner; the set's overlap with the block's union bounds that with
    any member. Only blocks that reach the needed overlap are opened and their
-   members compared. No pair inside a group is ever looked at again.
+   members compared. No pair inside a group is ever looked at again. First
+   tokens held by the same sets, such as those of one passage, are one row of
+   the matrix with their number.
 4. Connected components of the links, in rounds written to the shared folder.
 
 A token that very many documents share is late in the order, and a group of
@@ -48,8 +51,8 @@ from devicelens.llm.common import (WordHasher, bound_arrow_batches, materialize,
                                    text_slices, uint64_sets)
 from devicelens.llm.components import components
 
-SKETCH_SLOTS = 1 << 20
-SKETCH_BLOCK = 1 << 14
+SKETCH_SLOTS = 1 << 22
+SKETCH_BLOCK = 1 << 16
 MIN_HASHES, AGREEING = 8, 5  # of a pair that is compared early
 BLOCK_MEMBERS = 16
 STAR_ROUNDS = 3  # of comparing sets with heads of their min-hash buckets
@@ -63,46 +66,56 @@ def _text_words(column, hasher: WordHasher) -> Iterator[np.ndarray]:
             yield words[lo:hi]
 
 
-def _slots(words: np.ndarray) -> np.ndarray:
-    return (words % np.uint64(SKETCH_SLOTS)).astype(np.int64)
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens % np.uint64(SKETCH_SLOTS)).astype(np.int64)
 
 
-def _rarity(words: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
-    """For each n-gram of the words the count of its rarest word."""
-    count = counts[_slots(words)]
-    size = min(n, len(words))
-    out = count[: len(words) - size + 1]
-    for i in range(1, size):
-        out = np.minimum(out, count[i : len(words) - size + 1 + i])
-    return out
+def _whole_ngrams(words: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of a slice's texts that don't cross from one text into the next."""
+    if len(words) < n:
+        return words[:0]
+    ends = np.zeros(len(words) + n, bool)
+    for back in range(1, n):
+        ends[np.maximum(bounds - back, 0)] = True
+    ngrams = shingle_hashes(words, n)
+    return ngrams[~ends[: len(ngrams)]]
 
 
-def _sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """Word counts by slot, over all documents; a fixed number of slots."""
+def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """Eight times the binary logarithm of the n-gram counts by slot, over all documents; a fixed number of slots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = WordHasher(space_words()), np.zeros(SKETCH_SLOTS, np.int64)
+        hasher, total = WordHasher(space_words()), np.zeros(SKETCH_SLOTS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                total += np.bincount(_slots(hasher(data, offsets)[0]), minlength=SKETCH_SLOTS)
+                slots, number = np.unique(_slots(_whole_ngrams(*hasher(data, offsets), n)), return_counts=True)
+                total[slots] += number.astype(np.uint32)
         parts = total.reshape(-1, SKETCH_BLOCK)
         if total.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                ["block", "counts"])
+            for i, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                                                 ["block", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c.as_py()), np.int64) for c in table.column("counts"))
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for c in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        total = np.minimum(total, 2**31 - 1).astype(np.uint32)
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, counts binary")
     rows = rows.withColumn("of", F.floor(F.spark_partition_id() / 256))  # at most 256 parts are added at once
+    def level(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(zlib.decompress(add(table).column("counts")[0].as_py()), np.uint32)
+        levels = np.round(8 * np.log2(1.0 + total)).astype(np.uint8)  # at most 248: a byte a slot for the driver
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())})
+
     rows = rows.groupBy("block", "of").applyInArrow(add, "block int, counts binary")
-    rows = rows.groupBy("block").applyInArrow(add, "block int, counts binary")
-    sketch = np.zeros((SKETCH_SLOTS // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
+    rows = rows.groupBy("block").applyInArrow(level, "block int, counts binary")
+    sketch = np.zeros((SKETCH_SLOTS // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
     for r in rows.collect():  # the sketch's fixed size
-        sketch[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
+        sketch[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return sketch.reshape(-1)
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -112,7 +125,7 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
     """Per row: size and digest of its token set, min-hashes and first tokens."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, n))
     salts = (np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +133,14 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: st
         for batch in batches:
             sizes, digests, keys, first = [], [], [], []
             for words in _text_words(batch.column(2), hasher):
-                tokens, at = np.unique(shingle_hashes(words, n), return_index=True)
+                tokens = np.unique(shingle_hashes(words, n))
                 size = len(tokens)
                 sizes.append(size)
                 digests.append(_digest(tokens))
                 if size:
                     many = size - -(-num * size // den) + 1
-                    first.append(tokens[np.lexsort((tokens, _rarity(words, n, order)[at]))[:many]].view(np.int64))
-                    keys.append((tokens[:, None] * salts).min(0).view(np.int64))
+                    first.append(tokens[np.lexsort((tokens, order[_slots(tokens)]))[:many]].view(np.int64))
+                    keys.append(np.array([(tokens * salt).min() for salt in salts]).view(np.int64))
                 else:
                     first.append(np.zeros(0, np.int64))
                     keys.append(np.zeros(0, np.int64))
@@ -213,11 +226,11 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
                          .withColumn("rep", F.coalesce("rep", "row_id")), "classes")
     alone = rep_of.where("row_id = rep AND n > 0").select("rep")
 
-    # First tokens that occur in several classes, and the classes that have one.
+    # First tokens that occur in several classes, in the short prefix of one at least.
     first = (rows.select(F.col("row_id").alias("rep"), F.col("n").cast("int").alias("n"), "first").join(alone, "rep", "left_semi")
-             .select("rep", "n", F.explode("first").alias("token")))
-    shared = first.groupBy("token").agg(F.count(F.lit(1)).alias("in")).where(F.col("in") > 1).select("token")
-    first = materialize(first.join(shared, "token"), "first")
+             .select("rep", "n", F.posexplode("first").alias("at", "token")).withColumn("short", _in_short_prefix(num, den)))
+    shared = first.groupBy("token").agg(F.count(F.lit(1)).alias("in"), F.max("short").alias("short")).where((F.col("in") > 1) & F.col("short"))
+    first = materialize(first.join(shared.select("token"), "token"), "first")
     near = first.select("rep").distinct()
 
     # Groups: sets that agree in most min-hashes with the head of one of their buckets are
@@ -243,19 +256,27 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
         .select("rep", F.coalesce("component", "rep").alias("group"),
                 F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK_MEMBERS)).alias("block")), "groups")
 
-    # Token-group matrix: blocks of other groups that share first tokens.
+    # Token-group matrix: blocks of other groups that hold first tokens of a set in their short prefixes.
     placed = first.join(group_of, "rep")
-    several = placed.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
+    several = (placed.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.max("short").alias("short"))
+               .where((F.col("g0") < F.col("g1")) & F.col("short")).select("token"))
     placed = materialize(placed.join(several, "token"), "placed")
-    matrix = placed.select("token", F.col("group").alias("with_group"), F.col("block").alias("with_block")).distinct()
-    ranges = placed.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asked = (placed.select("token", F.col("rep").alias("a"), F.col("group").alias("own"), F.col("n").alias("n_a")).join(matrix, "token")
-             .where("own > with_group").groupBy("a", "n_a", F.col("with_group").alias("group"), F.col("with_block").alias("block"))
-             .agg(F.count(F.lit(1)).alias("common")).join(ranges, ["group", "block"])
-             .where(_sizes_allow(F.col("n_a"), F.col("n_a"), F.col("low"), F.col("high"), num, den))
-             # Of two sets' tokens up to the end of the shorter prefix only the common first ones
-             # are equal; behind it that set has ceil(t n) - 1 more.
-             .where(F.expr(f"common + ceil({num}L * greatest(n_a, high) / {den}) - 1 >= ceil({num}L * (n_a + low) / {num + den})"))
+    placed = placed.join(materialize(_collapsed(placed), "collapsed"), "token")
+    matrix = (placed.where("short").groupBy(F.col("token").alias("held_token"), F.col("group").alias("with_group"), F.col("block").alias("with_block"))
+              .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - 1 - at")).alias("behind")))
+    held = group_of.groupBy("group", "block").agg(F.count(F.lit(1)).alias("held"))
+    needed = F.expr(f"ceil({num}L * (n_a + low) / {num + den})")
+    # A set asks blocks with members of its size or smaller. Two sets have no more in common than what
+    # they share up to a token and what the shorter rest behind it holds.
+    asked = (placed.select("token", "times", "at", F.col("rep").alias("a"), F.col("group").alias("own"), F.col("n").alias("n_a"))
+             .join(matrix, (F.col("token") == F.col("held_token")) & (F.col("own") != F.col("with_group"))
+                   & (F.col("n_a") + (F.col("own") > F.col("with_group")).cast("int") > F.col("low"))
+                   & _sizes_allow(F.col("n_a"), F.col("n_a"), F.col("low"), F.col("high"), num, den)
+                   & (1 + F.least(F.expr("n_a - 1 - at"), F.col("behind")) >= needed))
+             .groupBy("a", "n_a", F.col("with_group").alias("group"), F.col("with_block").alias("block"))
+             .agg(F.sum("times").alias("common"), F.max("at").alias("last"), F.min("behind").alias("behind"), F.min("low").alias("low"))
+             .join(held, ["group", "block"])
+             .where((F.col("held") > 1) | (F.col("common") + F.least(F.expr("n_a - 1 - last"), F.col("behind")) >= needed))
              .select("a", F.col("n_a").cast("long").alias("n_a"), "group", "block"))
     asked = materialize(asked, "asked")
     open_members = materialize(group_of.join(asked.select("group", "block").distinct(), ["group", "block"], "left_semi"), "members")
@@ -263,8 +284,7 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     sets = sets.unionByName(_token_sets(docs, _classes(rep_of, more), n, doc_id, text))
     # A block of one member is its own union; larger ones are opened only where the union
     # qualifies, the most promising one of a group first: one link joins the whole group.
-    held = open_members.groupBy("group", "block").agg(F.count(F.lit(1)).alias("held"))
-    large = held.where("held > 1").select("group", "block")
+    large = open_members.groupBy("group", "block").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("group", "block")
     unions = _unions(sets.join(open_members.join(large, ["group", "block"], "left_semi"), "rep").select("group", "block", "tokens"))
     bounded = (asked.join(large, ["group", "block"], "left_semi").join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
                .join(unions, ["group", "block"]).select("a", "n_a", "group", "block", "left", "right"))
@@ -290,6 +310,27 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     return materialize(labelled, "components")
 
 
+def _in_short_prefix(num: int, den: int):
+    """Whether place ``at`` of a set of ``n`` is among those of which a linked set, at least as large, holds one.
+
+    The two have at least ``ceil(2 t n / (1 + t))`` tokens in common.
+    """
+    return F.expr(f"at <= n - ceil({2 * num}L * n / {num + den})")
+
+
+def _collapsed(held: DataFrame) -> DataFrame:
+    """``(token, times)``: the first of all tokens that the same sets hold in the same prefixes, with their number.
+
+    ``held`` has a row ``(token, rep, at, short)`` per token and holder; holders
+    are compared by their number and a 128-bit digest.
+    """
+    lists = held.groupBy("token").agg(
+        *[F.bit_xor(F.xxhash64("rep", "short", F.lit(i))).alias(f"h{i}") for i in range(2)],
+        F.count(F.lit(1)).alias("holders"), F.min("at").alias("least_at"))
+    return (lists.groupBy("h0", "h1", "holders").agg(F.min_by("token", "least_at").alias("token"), F.count(F.lit(1)).alias("times"))
+            .select("token", "times"))
+
+
 def _stars(keys: DataFrame, links: DataFrame | None, grouped: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` of a set and the head of one of its min-hash buckets, not in one group yet.
 

@@ -86,3 +86,26 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_a_rare_passage_in_a_third_of_unlike_documents(make):
+    rng = random.Random(8)
+    passage = " ".join(f"rare{i}" for i in range(40))
+    rows = []
+    for i in range(240):
+        own = [f"c{rng.randrange(300)}" for _ in range(rng.choice([12, 60, 160, 162]))]
+        at = rng.randrange(len(own))
+        text = " ".join(own[:at] + ([passage] if i % 3 == 0 else []) + own[at:])
+        rows.append((i, text))
+        if i % 10 == 0:
+            rows += [(1000 + i, text + " tail"), (2000 + i, text.replace(" c1", " d1", 3))]
+    for n, num, den in ((5, 80, 100), (4, 85, 100), (3, 50, 100)):
+        got = jaccard_join.join_components(make(rows), n=n, num=num, den=den).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, n, num, den)
+
+
+def test_tokens_of_the_same_sets_are_one_row(spark):
+    held = [(t, r, at, s) for t, r, at, s in [(1, 1, 0, True), (1, 2, 3, True), (2, 1, 1, True), (2, 2, 4, True), (3, 1, 2, True), (3, 2, 5, False),
+                                              (4, 1, 3, True), (4, 3, 0, True)]]
+    got = jaccard_join._collapsed(spark.createDataFrame(held, "token long, rep long, at int, short boolean")).collect()
+    assert sorted((r.token, r.times) for r in got) == [(1, 2), (3, 1), (4, 1)]
