@@ -185,39 +185,56 @@ def sample_hash(doc_id: str):
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << 31))
 
 
-def in_reach(doc_id: str, size, wanted: int):
-    """Whether a row's hash is small enough to be among the first ``wanted`` of ``size`` rows.
+def sampled_ids(pairs: DataFrame, wanted: int, of: str) -> DataFrame:
+    """At most ``wanted`` distinct ids of each class ``of``: those with the smallest hashes.
 
-    Twice as many as wanted pass, so the ranking that follows meets a bounded
-    number of rows, however many there are.
+    ``pairs`` holds ``of`` and ``doc_id``, in any number of rows. A class's
+    distinct ids are estimated first; only rows whose hash can be among the
+    first are then shuffled and ranked (about twice as many ids as wanted), so
+    neither a large class nor an id with very many rows meets in one task.
     """
-    return sample_hash(doc_id) < (2 * wanted + 100) / F.greatest(size, F.lit(1)) * float(1 << 31)
+    sizes = pairs.groupBy(of).agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # one row a class
+    reach = [(r[of], min(1.0, (2 * wanted + 100) / max(1, r["n"]))) for r in sizes]
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in reach for x in pair]), F.col(of)) if reach else F.lit(0.0)
+    near = pairs.where(sample_hash("doc_id") < limit * float(1 << 31)).select(of, "doc_id").distinct()
+    first = Window.partitionBy(of).orderBy(sample_hash("doc_id"), "doc_id")
+    return materialize(near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= wanted).select(of, "doc_id"), "chosen")
 
 
-def labelled_sample(docs: DataFrame, per_class: int, *, labels: DataFrame | None = None, doc_id: str = "doc_id",
-                    text: str = "text", label: str = "label") -> tuple[DataFrame, dict[int, int]]:
-    """(sample, labelled rows per class): ``doc_id, label, text`` of at most ``per_class`` ids of each class.
+def sampled_texts(rows: DataFrame, chosen: DataFrame, of: str, most_bytes: int) -> DataFrame:
+    """``doc_id, of, text`` of the chosen ids: one text each, that of least hash where an id has several.
+
+    Texts of a class are taken in the order of their ids' hashes until they hold ``most_bytes`` bytes.
+    """
+    keys = [c for c in chosen.columns if c in rows.columns]
+    one = rows.join(F.broadcast(chosen), keys).groupBy(of, "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    before = Window.partitionBy(of).orderBy(sample_hash("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(before), F.lit(0))
+    return materialize(one.withColumn("held", held).where(F.col("held") < most_bytes).select("doc_id", of, "text"), "sample")
+
+
+# Bytes of the sampled texts of one class; the text that reaches it is the last one.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, per_class: int, *, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
+                    label: str = "label", most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(sample, labelled ids per class): ``doc_id, label, text`` of at most ``per_class`` ids and ``most_bytes`` of each class.
 
     Labels 0 and 1 come from ``labels`` or from ``docs`` itself; the ids with
-    the smallest hashes are taken. Only ids meet the labels; the texts are
-    then picked by the sample, whose size is bounded. Rows with a NULL id,
-    text or label are not used.
+    the smallest hashes are taken, each with one text. Only ids meet the labels;
+    the texts are then picked by the sample, whose size is bounded. Rows with a
+    NULL id, text or label are not used; an id with both labels is in both classes.
     """
-    rows = docs.where(F.col(text).isNotNull())
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    as_label = F.col(label).cast("int").alias("label")
     if labels is None:
-        keys, pairs = ["doc_id", "label"], rows.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+        rows = rows.select(F.col(doc_id).alias("doc_id"), as_label, F.col(text).alias("text"))
+        pairs = rows.select("doc_id", "label").distinct()
     else:
-        of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
-        keys, pairs = ["doc_id"], rows.select(F.col(doc_id).alias("doc_id")).join(of, "doc_id")
-    pairs = pairs.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+        of = labels.select(F.col(doc_id).alias("doc_id"), as_label).distinct()
+        rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        pairs = rows.select("doc_id").distinct().join(of, "doc_id")
+    pairs = pairs.where(F.col("label").isin(0, 1))
     sizes = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_class = F.lit(0)
-    for value, n in sizes.items():
-        of_class = F.when(F.col("label") == value, n).otherwise(of_class)
-    first = Window.partitionBy("label").orderBy(sample_hash("doc_id"), "doc_id")
-    chosen = materialize(pairs.where(in_reach("doc_id", of_class, per_class)).withColumn("place", F.row_number().over(first))
-                         .where(f"place <= {per_class}").select("doc_id", "label").distinct(), "chosen")
-    named = {"doc_id": F.col(doc_id), "text": F.col(text)} | ({"label": F.col(label).cast("int")} if labels is None else {})
-    texts = rows.select(*[c.alias(k) for k, c in named.items()])
-    sample = texts.join(F.broadcast(chosen), keys).select("doc_id", "label", "text")  # at most 2 * per_class ids
-    return materialize(sample, "sample"), sizes
+    return sampled_texts(rows, sampled_ids(pairs, per_class, "label"), "label", most_bytes), sizes

@@ -28,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import crc32_remainder, in_reach, sample_hash, text_slices
+from devicelens.llm.common import SAMPLE_BYTES, crc32_remainder, sampled_ids, sampled_texts, text_slices
 
 ORDER = 3
 # Bound of the labelled sample: texts of each language.
@@ -148,15 +148,11 @@ class ContextTrees:
 
 
 def fit_trees(docs: DataFrame, *, order: int = ORDER, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id",
-              lang: str = "lang", text: str = "text") -> ContextTrees:
-    """Trees from labelled rows (NULL language or text: not used)."""
-    ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+              lang: str = "lang", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> ContextTrees:
+    """Trees from at most ``per_language`` ids and ``most_bytes`` of each language (NULL language, id or text: not used)."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("lang").orderBy(sample_hash("doc_id"), "doc_id")
-    sample = (ids.select("lang", "doc_id").join(sizes, "lang").where(in_reach("doc_id", F.col("n"), per_language))
-              .withColumn("place", F.row_number().over(first)).where(f"place <= {per_language}"))
-    sample = F.broadcast(sample.select("lang", "doc_id").distinct())  # bounded by the sample
+    sample = sampled_texts(rows, sampled_ids(rows.select("lang", "doc_id"), per_language, "lang"), "lang", most_bytes)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +166,7 @@ def fit_trees(docs: DataFrame, *, order: int = ORDER, per_language: int = PER_LA
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)),
                                                       pa.array(n, pa.int64())], ["lang", "code", "n"])
 
-    table = (ids.join(sample, ["lang", "doc_id"]).select("lang", "text")
+    table = (sample.select("lang", "text")
              .mapInArrow(counts, "lang string, code long, n long")
              .groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(table["lang"].unique())

@@ -14,7 +14,7 @@ shuffle; its exact count and its removals are plain aggregations and joins on
 Lines are the text between line ends, compared without surrounding blanks;
 blank lines are never removed. Edge cases: a NULL text stays NULL and has no
 lines; a text of any length is handled whole; a NULL site counts as no site;
-rows that share an id share its removals; an empty table gives an empty
+the rows of a line's smallest id all keep it; an empty table gives an empty
 result; other columns are kept as they are.
 """
 
@@ -60,12 +60,15 @@ def remove_spread_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, doc_id:
                         text: str = "text") -> DataFrame:
     """``docs`` with the cleaned text and the columns ``__lines`` and ``__removed`` (numbers of lines)."""
     spread = spread_lines(docs, min_sites=min_sites, doc_id=doc_id, site=site, text=text)
-    held = docs.select(F.col(doc_id).alias("__id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _key))).alias("line"))
-    gone = (held.join(spread, "line").where("NOT (__id <=> keeper)").select("__id", "line").distinct()
-            .groupBy("__id").agg(F.collect_list("line").alias("__gone")))
+    of_text = F.xxhash64(F.col(text))
+    held = docs.select(F.col(doc_id).alias("__id"), of_text.alias("__of"),
+                       F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _key))).alias("line"))
+    gone = (held.join(spread, "line").where("NOT (__id <=> keeper)").groupBy("__id", "__of")
+            .agg(F.collect_set("line").alias("__gone")))
     gone = materialize(gone, "gone")
-    # The removals grow with the documents: one plan at every size, never a broadcast.
-    joined = docs.join(gone.hint("merge"), docs[doc_id].eqNullSafe(gone["__id"]), "left").drop("__id")
+    # The removals grow with the documents: one plan at every size, never a broadcast. Rows are told apart by
+    # id and text, so rows that share an id have an array of their own lines each.
+    joined = docs.join(gone.hint("merge"), docs[doc_id].eqNullSafe(gone["__id"]) & (of_text == gone["__of"]), "left").drop("__id", "__of")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("__gone", _key(x)), F.lit(False)))
     cut = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
     before = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text))))

@@ -1,15 +1,16 @@
 """Operator 4: quality classifier on supervised subword embeddings.
 
-A text's features are its words, its byte strings of 2 to 4 bytes and, for
-word pairs up to three words apart, a mark where both words are equal; all are
-hashed into a fixed number of slots. Every slot has a learned vector; a text is the
+A text's features are its words, its character n-grams of 2 to 4 characters
+and, for word pairs up to three words apart, a mark where both words are equal
+(an addition of ours that finds repeated text); all are hashed into a fixed
+number of slots. Every slot has a learned vector; a text is the
 average of its features' vectors, and a softmax layer over it gives the
 label's probability. Vectors and layer are learned together by stochastic
 gradient descent (numpy), one text at a time, the step scaled by the length of
 the text's feature vector.
 
 The model is fitted on at most ``per_class`` labelled texts of each class
-(those with the smallest hashed ids) and its intercept moved from the sample's
+(those with the smallest hashed ids, one text an id, up to ``most_bytes``) and its intercept moved from the sample's
 class shares to those of all labelled rows. As averaging is linear, scoring
 needs one learned number per slot: the slot's vector times the layer.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import WordHasher, crc32_remainder, labelled_sample, space_words, text_slices
+from devicelens.llm.common import SAMPLE_BYTES, WordHasher, crc32_remainder, labelled_sample, space_words, text_slices
 
 SLOTS_LOG2 = 18
 SIZES = (2, 3, 4)
@@ -65,11 +66,28 @@ class Features:
             return np.concatenate(slots)[order], np.searchsorted(at[order], bounds)
         return slots[0], bounds
 
+    @staticmethod
+    def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of UTF-8 texts, and the offsets counted in them."""
+        first = (data & 0xC0) != 0x80
+        place = np.concatenate(([0], np.cumsum(first)))
+        at = np.flatnonzero(first)
+        lead = data[at].astype(np.uint64)
+        code = np.where(lead < 0x80, lead, np.where(lead < 0xE0, lead & np.uint64(0x1F), np.where(lead < 0xF0, lead & np.uint64(0x0F), lead & np.uint64(7))))
+        size = np.diff(np.append(at, len(data)))
+        for back in range(1, 4):
+            more = np.flatnonzero(size > back)
+            code[more] = (code[more] << np.uint64(6)) | (data[at[more] + back] & 0x3F)
+        return code, place[offsets]
+
     def strings(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each size the slot of the string at each position, and where it is whole."""
+        """For each size the slot of the n-gram at each character, and where it is whole.
+
+        ``data`` and ``offsets`` are of characters, see :meth:`characters`.
+        """
         code = data.astype(np.uint64)
         for size in range(2, max(self.sizes) + 1):
-            code = (code[:-1] << np.uint64(8)) | data[size - 1 :] if len(code) > 1 else code[:0]
+            code = (code[:-1] << np.uint64(21)) ^ (code[:-1] >> np.uint64(43)) ^ data[size - 1 :] if len(code) > 1 else code[:0]
             if size in self.sizes:
                 slot = ((code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size << 60))
                         >> self.shift).astype(np.int64)
@@ -82,7 +100,7 @@ class Features:
     def of_text(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(distinct slots, their shares) of one text."""
         data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-        slots = np.concatenate([self.words(data, offsets)[0], *[s[w] for s, w in self.strings(data, offsets)]])
+        slots = np.concatenate([self.words(data, offsets)[0], *[s[w] for s, w in self.strings(*self.characters(data, offsets))]])
         slots, n = np.unique(slots, return_counts=True)
         return slots, n / max(1, n.sum())
 
@@ -93,20 +111,19 @@ class SubwordClassifier:
     intercept: float
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: list[int], share: float, *, epochs: int = EPOCHS,
+    def fit(cls, examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], share: float, *, epochs: int = EPOCHS,
             dimensions: int = DIMENSIONS, rate: float = 0.5, seed: int = 7) -> SubwordClassifier:
-        """``share``: of label 1 among all labelled rows."""
-        features, rng = Features(), np.random.default_rng(seed)
+        """``examples``: distinct slots and their shares of each text; ``share``: of label 1 among all labelled ids."""
+        rng = np.random.default_rng(seed)
         prior = float(np.clip(share, 1e-3, 1 - 1e-3))
         if len(set(labels)) < 2:
             return cls(np.zeros(1 << SLOTS_LOG2, np.float32), float(np.log(prior / (1 - prior))))
-        examples = [features.of_text(t) for t in texts]
         vectors = rng.uniform(-1, 1, (1 << SLOTS_LOG2, dimensions)) / dimensions
         layer, bias = np.zeros((dimensions, 2)), np.zeros(2)
         layer[:] = rng.normal(0, 0.5, layer.shape)
-        steps, step = epochs * len(texts), 0
+        steps, step = epochs * len(examples), 0
         for _ in range(epochs):
-            for i in rng.permutation(len(texts)):
+            for i in rng.permutation(len(examples)):
                 slots, amount = examples[i]
                 speed = rate * (1 - step / steps)
                 step += 1
@@ -124,17 +141,18 @@ class SubwordClassifier:
         return cls((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0] + shift))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, features: Features) -> np.ndarray:
-        total = np.zeros(len(data) + 1)
+        characters, ends = features.characters(data, offsets)
+        total = np.zeros(len(characters) + 1)
         number = np.zeros(len(offsets) - 1)
-        length = np.diff(offsets)
-        for slot, whole in features.strings(data, offsets):
+        length = np.diff(ends)
+        for slot, whole in features.strings(characters, ends):
             part = self.weight[slot]
             part[~whole] = 0
             total[1 : len(part) + 1] += part
         for size in features.sizes:
             number += np.maximum(length - size + 1, 0)
         summed = np.cumsum(total)
-        logit = summed[offsets[1:]] - summed[offsets[:-1]]
+        logit = summed[ends[1:]] - summed[ends[:-1]]
         slots, bounds = features.words(data, offsets)
         summed = np.concatenate(([0.0], np.cumsum(self.weight[slots], dtype=np.float64)))
         logit += summed[bounds[1:]] - summed[bounds[:-1]]
@@ -143,14 +161,26 @@ class SubwordClassifier:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame | None = None, *, per_class: int = PER_CLASS,
-                   doc_id: str = "doc_id", text: str = "text", label: str = "label") -> SubwordClassifier:
-    """From rows with text and a 0/1 label of their own or in ``labels`` (rows with a NULL are not used)."""
-    sample, sizes = labelled_sample(docs, per_class, labels=labels, doc_id=doc_id, text=text, label=label)
+                   doc_id: str = "doc_id", text: str = "text", label: str = "label", most_bytes: int = SAMPLE_BYTES) -> SubwordClassifier:
+    """From at most ``per_class`` ids and ``most_bytes`` of each class with a 0/1 label of their own or in ``labels`` (rows with a NULL are not used)."""
+    sample, sizes = labelled_sample(docs, per_class, labels=labels, doc_id=doc_id, text=text, label=label, most_bytes=most_bytes)
     if not sizes:
         return SubwordClassifier(np.zeros(1 << SLOTS_LOG2, np.float32), 0.0)
-    got = sample.select("label", "text").orderBy("label", F.xxhash64("doc_id"), "text").collect()  # the bounded sample
-    return SubwordClassifier.fit([r["text"].encode() for r in got], [r["label"] for r in got],
-                                 sizes.get(1, 0) / sum(sizes.values()))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            for i in range(len(batch)):
+                found, share = features.of_text(batch.column(2)[i].as_py().encode())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([found.astype(np.int32).tobytes()], pa.binary()),
+                     pa.array([share.tobytes()], pa.binary())], ["label", "place", "slots", "share"])
+
+    # A text comes to the driver as at most 2 ** SLOTS_LOG2 slots, and the sample's bytes bound them all.
+    rows = sample.select("label", F.xxhash64("doc_id").alias("place"), "text").mapInArrow(slots, "label int, place long, slots binary, share binary")
+    got = rows.orderBy("label", "place", "slots").collect()
+    examples = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["share"])) for r in got]
+    return SubwordClassifier.fit(examples, [r["label"] for r in got], sizes.get(1, 0) / sum(sizes.values()))
 
 
 def score_texts(docs: DataFrame, model: SubwordClassifier, *, text: str = "text", threshold: float = 0.3) -> DataFrame:

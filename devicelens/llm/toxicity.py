@@ -12,7 +12,7 @@ The lexicon is learned from labelled texts: an entry's weight is its log odds
 of standing in toxic texts, kept where clearly positive. Exceptions are word
 pairs around an entry that occur in non-toxic texts only. Both are counted by
 Spark on at most ``per_class`` labelled texts of each class (smallest hashed
-ids); the lexicon holds at most ``entries`` entries. ``base`` entries with
+ids); they bound the lexicon, too. ``base`` entries with
 weights and ``exceptions`` can be given as well.
 
 Edge cases: a NULL or empty text has weight 0 and gets the score of that; a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from devicelens.llm.common import crc32_remainder, labelled_sample
 
-PER_CLASS, ENTRIES, LEAST_TEXTS, LEAST_WEIGHT = 3000, 20_000, 4, 1.5
+PER_CLASS, LEAST_TEXTS, LEAST_WEIGHT = 3000, 4, 1.5
 PREFIX = 5  # letters of a word beginning
 # Letters that look like Latin ones (Cyrillic, Greek), and what they stand for.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαερουικντ", "aeopcyxijsdhkmtbhaepoyiknt"))
@@ -113,7 +113,7 @@ def _entries(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:PREFIX]}" for w in words if len(w) > PREFIX}
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame | None = None, *, per_class: int = PER_CLASS, entries: int = ENTRIES,
+def fit_lexicon(docs: DataFrame, labels: DataFrame | None = None, *, per_class: int = PER_CLASS,
                 base: dict[str, float] | None = None, exceptions: list[str] | None = None,
                 doc_id: str = "doc_id", text: str = "text", label: str = "label") -> Lexicon:
     """From rows with text and a 0/1 label of their own or in ``labels`` (rows with a NULL are not used)."""
@@ -138,8 +138,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame | None = None, *, per_class:
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     learned = (sample.mapInArrow(occurring, "label int, entry string").groupBy("entry")
                .agg(toxic.alias("toxic"), clean.alias("clean")).where(f"toxic >= {LEAST_TEXTS}")
-               .withColumn("weight", odds).where(f"weight >= {LEAST_WEIGHT}")
-               .orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry").limit(entries))  # the lexicon's size
+               .withColumn("weight", odds).where(f"weight >= {LEAST_WEIGHT}"))  # bounded by the sample's texts
     weights = {r["entry"]: float(r["weight"]) for r in learned.collect()} | given.weights
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +151,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame | None = None, *, per_class:
                                                  ["label", "entry"])
 
     benign = (sample.mapInArrow(pairs, "label int, entry string").groupBy("entry")
-              .agg(toxic.alias("toxic"), clean.alias("clean")).where(f"toxic = 0 AND clean >= {LEAST_TEXTS}")
-              .orderBy(F.desc("clean"), "entry").limit(entries))  # as many exceptions as entries at most
-    lexicon = Lexicon(weights, given.exceptions + [r["entry"] for r in benign.collect()])
+              .agg(toxic.alias("toxic"), clean.alias("clean")).where(f"toxic = 0 AND clean >= {LEAST_TEXTS}"))  # bounded by the sample's texts
+    lexicon = Lexicon(weights, given.exceptions + sorted(r["entry"] for r in benign.collect()))
 
     values = score_texts(sample, lexicon, raw=True).select("label", "score").toPandas()  # one number per sampled text
     x, y = values["score"].to_numpy(), values["label"].to_numpy(float)
@@ -180,7 +178,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", thresh
                 raw: bool = False) -> DataFrame:
     """``docs`` without the text, with ``score, n_matches, predicted`` (raw: the weight as score)."""
     rest = [c for c in docs.columns if c not in (text, "score", "n_matches", "predicted")]
-    shared = docs.sparkSession.sparkContext.broadcast(vars(lexicon))  # bounded by the number of entries
+    shared = docs.sparkSession.sparkContext.broadcast(vars(lexicon))  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, folder = Lexicon(**shared.value), Folder()

@@ -28,7 +28,8 @@ def rows():
     common = [f"common line {i}" for i in range(8)]
     out = [(i, "\n".join(rng.choice([*common, f"own {i}", "", "  ", f" {common[0]} "]) for _ in range(rng.randrange(1, 9))), f"s{rng.randrange(9)}")
            for i in range(80)]
-    return [*out, (90, None, "s1"), (91, "", "s1"), (92, "common line 1\n" * 5000, "s2"), (93, "common line 2", None), (5, out[5][1], "s5"), (5, out[5][1], "s5")]
+    return [*out, (90, None, "s1"), (91, "", "s1"), (92, "common line 1\n" * 5000, "s2"), (93, "common line 2", None), (5, out[5][1], "s5"), (5, out[5][1], "s5"),
+            (5, "common line 3\nnot in the others", "s5"), (None, "common line 4\nwithout an id", "s6"), (None, "common line 5", "s7")]
 
 
 def test_equals_brute_force(make):

@@ -148,3 +148,46 @@ def test_all_matches_are_found():
     lexicon = toxicity.Lexicon({" idiot ": 1.0, " idiot": 0.5, " scum ": 2.0}, [" scum bag "])
     found = toxicity.weigh(toxicity.Folder()("idiot idiot, idiots scum scum bag"), lexicon.automaton(), True)
     assert found[1] == 4 and found[0] == pytest.approx((1 + 1 + 0.5 + 2) / math.log2(2 + 9))
+
+
+def test_samples_are_bounded_by_distinct_ids(spark):
+    from devicelens.llm.common import labelled_sample
+
+    others = [(i, f"text {i}", i % 2) for i in range(1, 601)]
+    for hot in range(1000, 1012):  # ids of small and of large hashes
+        rows = others + [(hot, f"copy {i % 3}", 1) for i in range(900)] + [(None, "no id", 1), (hot, None, 0)]
+        sample, sizes = labelled_sample(labelled(spark, rows), 10)
+        got = sample.collect()
+        assert sizes == {0: 300, 1: 301} and len(got) == 20 == len({(r.doc_id, r.label) for r in got})
+    only = [(7, f"copy {i}", 1) for i in range(500)]
+    assert [r.doc_id for r in labelled_sample(labelled(spark, only), 10)[0].collect()] == [7]
+    long = [(i, "x" * 1000, 0) for i in range(50)]
+    assert labelled_sample(labelled(spark, long), 40, most_bytes=4500)[0].count() == 5  # the fifth text reaches the bound
+    by_table = labelled_sample(spark.createDataFrame(only, "doc_id long, text string, n int"), 10,
+                               labels=spark.createDataFrame([(7, 0), (7, 1), (8, 1), (None, 1)], "doc_id long, label int"))
+    assert sorted((r.doc_id, r.label) for r in by_table[0].collect()) == [(7, 0), (7, 1)] and by_table[1] == {0: 1, 1: 1}
+
+
+def test_a_language_of_one_hot_id_is_learned(make):
+    rows = [(3, "abab abba bab", "aa")] * 700 + [(i, "zézé ozo", "zz") for i in range(10, 400)] + [(None, "qq", "yy")]
+    trees = language_id.fit_trees(make(rows), per_language=5)
+    assert trees.languages == ["aa", "zz"]
+    got = language_id.identify(make([(1, "bab abba"), (2, "ozo zé")]).select("doc_id", "text"), trees).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "aa", 2: "zz"}
+
+
+def test_character_ngrams_are_of_characters():
+    texts = ["", "a", "añb", "日本語の文", "x𝕏y𝕏", "ñ", "ab ab", "日本"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    characters, ends = quality.Features.characters(data, offsets)
+    assert characters.tolist() == [ord(c) for t in texts for c in t] and np.diff(ends).tolist() == [len(t) for t in texts]
+    features, joined = quality.Features(), "".join(texts)
+    of = {}
+    for size, (slot, whole) in zip(features.sizes, features.strings(characters, ends)):
+        grams = [joined[i : i + size] for i in range(len(joined) - size + 1)]
+        inside = [any(lo <= i and i + size <= hi for lo, hi in zip(ends[:-1], ends[1:])) for i in range(len(grams))]
+        assert whole.tolist() == inside
+        for g, s in zip(grams, slot.tolist()):
+            assert of.setdefault(g, s) == s
+    assert len(set(of.values())) == len(of)
