@@ -42,6 +42,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from devicelens.sources.schema import typed
+
 LOGICAL_TABLES = {
     "fact_sales": "V_FACT_SLS",
     "period": "V_DIM_PERIOD",
@@ -96,24 +98,25 @@ class Tables(Mapping):
 
 
 def catalog_tables(spark: SparkSession, names: Mapping[str, str] | None = None,
-                   prefix: str = "") -> Tables:
-    """Read the logical tables from the session catalog.
+                   prefix: str = "", trim: bool = True) -> Tables:
+    """Read the logical tables from the session catalog, typed as declared (``sources.schema``).
 
     ``names`` maps a logical name to a (possibly multi-part) table name; by
     default the reference name under ``prefix`` is used, e.g.
-    ``prefix="edw.edwrpt."`` reads ``edw.edwrpt.V_FACT_SLS``.
+    ``prefix="edw.edwrpt."`` reads ``edw.edwrpt.V_FACT_SLS``. ``trim=False``
+    takes codes as stored, so that filters on them reach the scan.
     """
     names = dict(names or {})
     loaders = {}
     for logical, ref_name in LOGICAL_TABLES.items():
         full = names.get(logical, prefix + ref_name)
-        loaders[logical] = (lambda n=full: spark.table(n))
+        loaders[logical] = (lambda t=logical, n=full: typed(spark.table(n), t, trim=trim))
     return Tables(spark, loaders)
 
 
-def parquet_tables(spark: SparkSession, root: str) -> Tables:
-    """Read each logical table from ``<root>/<reference name>`` parquet."""
-    loaders = {logical: (lambda n=ref: spark.read.parquet(f"{root}/{n}"))
+def parquet_tables(spark: SparkSession, root: str, trim: bool = True) -> Tables:
+    """Read each logical table from ``<root>/<reference name>`` parquet, typed as declared."""
+    loaders = {logical: (lambda t=logical, n=ref: typed(spark.read.parquet(f"{root}/{n}"), t, trim=trim))
                for logical, ref in LOGICAL_TABLES.items()}
     return Tables(spark, loaders)
 
@@ -126,7 +129,7 @@ OPERATIONAL_TABLES = ("events", "devices", "event_codes", "oem_info", "clients",
 
 def jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str], *,
                 schema: str = "dbo", partitions: Mapping[str, tuple] | None = None,
-                base: Tables | None = None) -> Tables:
+                base: Tables | None = None, trim: bool = True) -> Tables:
     """Read the operational tables over JDBC; other names come from ``base``.
 
     ``partitions`` maps a logical name to ``(column, lower, upper, n)`` for a
@@ -142,10 +145,9 @@ def jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str], *,
         table = f"{schema}.{LOGICAL_TABLES[logical]}"
         if logical in partitions:
             column, lower, upper, n = partitions[logical]
-            return lambda: spark.read.jdbc(url, table, column=column, lowerBound=lower,
-                                           upperBound=upper, numPartitions=n,
-                                           properties=props)
-        return lambda: spark.read.jdbc(url, table, properties=props)
+            return lambda: typed(spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper,
+                                                 numPartitions=n, properties=props), logical, trim=trim)
+        return lambda: typed(spark.read.jdbc(url, table, properties=props), logical, trim=trim)
 
     loaders = {name: (lambda n=name: base[n]) for name in (base or {})}
     loaders.update({name: reader(name) for name in OPERATIONAL_TABLES})
