@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.compare import digest
-from devicelens.operators.rank import bucketed_rank, first_by_rank, with_rank
+from devicelens.operators.rank import bucketed_rank, first_by_rank, rank_buckets, with_rank
 from devicelens.plans import depot as D
 from devicelens.plans import sales as S
 from tests.conftest import tables
@@ -86,6 +86,20 @@ def test_first_rank_keeps_ties_and_null_first(spark):
     assert ranks == [("a", 1, 1), ("a", 1, 1), ("a", 2, 3), ("b", 5, 2)]
 
 
+def test_hot_barcode_day_is_split_and_ranked_alike(spark):
+    """A third of all rows on one day of one barcode: many small pieces, the window's ranks."""
+    at = F.expr("CASE WHEN id % 3 = 0 THEN timestamp_ntz'2024-05-01 08:00:00' + make_dt_interval(0, 0, 0, (id * 7919) % 5000)"
+                " WHEN id % 50 = 1 THEN NULL ELSE timestamp_ntz'2024-05-01 00:00:00' + make_dt_interval(id % 40, id % 5) END")
+    key = F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 11) END")
+    df = spark.range(9000).select("id", key.alias("k"), at.alias("t"), F.lit("x").alias("n"))
+    got = {r.id: r.r for r in bucketed_rank(df, "k", "t", "r", most=200, splits=32).collect()}
+    assert got == {r.id: r.r for r in with_rank(df, "k", "t", "r").collect()}
+    sizes = [r["count"] for r in rank_buckets(df, ["k"], "t", most=200, splits=32).groupBy("k", "__bucket", "__range").count().select("count").collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 200
+    one = df.withColumn("t", F.lit("2024-05-01 08:00:00").cast("timestamp_ntz"))  # ties can't be parted: all rank first
+    assert {r.r for r in bucketed_rank(one, "k", "t", "r", most=200, splits=32).collect()} == {1}
+
+
 def test_bucketed_rank_equals_window_rank(spark):
     rnd = random.Random(3)
     base = dt.datetime(2024, 1, 1)
