@@ -29,5 +29,18 @@ def key_multiplicity(df: DataFrame, keys, table: str) -> DataFrame:
                     F.col("row_count")))
 
 
-def union_audits(audits: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), audits)
+def key_multiplicities(audits: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """:func:`key_multiplicity` of many keys in one aggregation and one scan a table.
+
+    Each entry is a table with its audited columns, as ``column -> name``. A
+    row gives one (name, key) pair per audited column, and all pairs of all
+    tables are counted together: partial counts stand before the only shuffle,
+    which pairs of (name, key) spread whatever the tables' sizes. A NULL key
+    is counted apart from the text it prints as.
+    """
+    pairs = [df.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("table_name"), F.col(column).cast("string").alias("key_value"))
+        for column, name in names.items()])).alias("pair")).select("pair.*") for df, names in audits]
+    return (reduce(DataFrame.unionByName, pairs).groupBy("table_name", "key_value")
+            .agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
+            .select("table_name", F.coalesce("key_value", F.lit("<null>")).alias("key_value"), "row_count"))

@@ -3,14 +3,20 @@
 Shape of :func:`biomed_sales`, in join order:
 
 * fact lines limited to the selected fiscal months by the implied range of
-  period ids (a literal range the fact's scan can use), then joined to:
+  period ids (a literal range the fact's scan can use), and to lines that can
+  be reported at all in two disjoint branches: flagged orders (a filter the
+  scan can use) and other orders of flagged accounts (``biomed_facts``);
+* those lines summed by their own keys while narrow (``sales_groups``): every
+  dimension hangs off these keys alone, so a group joins exactly what each of
+  its lines would, and a repeated dimension key repeats the group's sums;
+* the groups, then joined to:
 * the order-level biomed dimension, enriched *before* it meets the fact:
   device index and rent calendar hang off its device code and billing text,
   and those join predicates reject NULL, so ``fact LEFT JOIN bmd LEFT JOIN x``
   equals ``fact LEFT JOIN (bmd LEFT JOIN x)``;
 * customers while the rows are still narrow, then calendar, items, GL and
   transaction types; each is broadcast or shuffled by its size. At scale the
-  fact is shuffled by order, customer and item;
+  groups are shuffled by order, customer and item, the lines themselves once;
 * dimensions the report joins only for their row effect (price list, second
   GL account, manager, second period) cost a join with their repeated keys
   alone, which are normally none (``operators.joins.repeat_rows``);
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from devicelens.functions import rules as R
 from devicelens.functions.dates import date_lit, rent_start
-from devicelens.operators.audit import key_multiplicity, union_audits
+from devicelens.operators.audit import key_multiplicities
 from devicelens.operators.joins import repeat_rows
 from devicelens.operators.materialize import checkpointed
 from devicelens.sources.catalog import Tables
@@ -107,23 +113,88 @@ def period_id_range(t: Tables, min_fiscal_month: str):
     return None if lo is None else (lo, hi)
 
 
+# What a fact line is joined and labelled by: its own keys, no measure.
+FACT_KEYS = ("SLS_ID", "ORDR_NUM", "INV_NUM", "BIOMED_FLG", "DIM_CUST_CURR_ID", "DIM_GL_DT_ID",
+             "DIM_ITEM_E1_CURR_ID", "DIM_ACCT_MGR_CURR_ID", "DIM_SLS_GL_ACCT_ID",
+             "DIM_COGS_GL_ACCT_ID", "DIM_TRANS_TYPE_ID")
+# Accounts whose lines have a cost; which one a line has is known after the account join.
+COST_ACCOUNTS = (R.SELL_GL_ACCOUNT, R.COGS_GL_ACCOUNT)
+# Measure inputs of a line, or their sums over a group of lines.
+NET = "EXT_NET_SLS_AMT"
+PARTS = (NET, *[f"{part}_{a}" for a in COST_ACCOUNTS for part in ("COST", "MARGIN")])
+
+
+def biomed_facts(t: Tables, facts: DataFrame) -> DataFrame:
+    """The fact lines of biomed orders or of customers with a biomed account row.
+
+    Two disjoint branches instead of one predicate over both join sides: the
+    order flag is a filter on the fact alone, and the other lines (a NULL flag
+    included) are semi-joined with the flagged customers, which Spark
+    broadcasts or prunes by a Bloom filter as their size allows.
+    """
+    biomed = F.col("BIOMED_FLG") == "Y"
+    flagged = (t["customers_blend"].where(F.col("BIOMED_ACCT_FLG") == "Y")
+               .select(F.col("DIM_CUST_CURR_ID").alias("flagged_id")))
+    others = facts.where(F.col("BIOMED_FLG").isNull() | ~biomed)
+    return facts.where(biomed).unionByName(
+        others.join(flagged, others.DIM_CUST_CURR_ID == flagged.flagged_id, "left_semi"))
+
+
+def _fact_lines(t: Tables, min_fiscal_month: str, derive_date_range: bool, split: bool = True) -> DataFrame:
+    """Fact lines that the report can hold: their keys, ``LINES`` = 1 and measure inputs."""
+    s = t["fact_sales"]
+    if derive_date_range:
+        rng = period_id_range(t, min_fiscal_month)
+        s = (s.where(F.col("DIM_GL_DT_ID").between(F.lit(rng[0]), F.lit(rng[1])))
+             if rng else s.where(F.lit(False)))
+    else:
+        days = (t["period"].where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
+                .select(F.col("DIM_PERIOD_ID").alias("selected_day")))
+        s = s.join(days, s.DIM_GL_DT_ID == days.selected_day, "left_semi")
+    net = F.col(NET)
+    costs = {a: R.gl_cost(F.lit(a), net, F.col("EXT_SELL_GP_FIN_AMT"), F.col("EXT_COGS_ACQ_AMT"))
+             for a in COST_ACCOUNTS}
+    return (biomed_facts(t, s) if split else s).select(
+        *FACT_KEYS, F.lit(1).cast("long").alias("LINES"), NET,
+        *[c for a, cost in costs.items()
+          for c in (cost.alias(f"COST_{a}"), (net - cost).alias(f"MARGIN_{a}"))])
+
+
 def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
                 derive_date_range: bool = True) -> DataFrame:
     """Fact lines since ``min_fiscal_month`` of biomed orders or biomed
     accounts, with every attribute and classification the report groups by
     (raw device groups kept as RAW_GROUP_LVL_1/2) and the per-line measure
-    inputs.
+    inputs (``LINES`` is 1).
 
     ``derive_date_range`` adds ``min_id <= DIM_GL_DT_ID <= max_id`` over the
     selected calendar rows to the fact. It is implied by the calendar join
     (no other fact row can match), and as a literal range it reaches the
-    fact's scan, where row groups or partitions outside it are skipped.
+    fact's scan, where row groups or partitions outside it are skipped. It
+    costs a small job on the calendar while the plan is built. Without it the
+    fact is semi-joined with those rows, which a fact stored by
+    :func:`store_sales` turns into dynamic partition pruning at run time.
     """
-    s = t["fact_sales"]
-    if derive_date_range:
-        rng = period_id_range(t, min_fiscal_month)
-        s = (s.where(F.col("DIM_GL_DT_ID").between(F.lit(rng[0]), F.lit(rng[1])))
-             if rng else s.where(F.lit(False)))
+    return _attributes(t, _fact_lines(t, min_fiscal_month, derive_date_range), min_fiscal_month)
+
+
+def sales_groups(t: Tables, *, min_fiscal_month: str = "202400", stored: bool = False) -> DataFrame:
+    """:func:`sales_lines` with lines of equal fact keys summed before any dimension join.
+
+    ``LINES`` counts a group's lines and the measure inputs are sums over them;
+    a sum skips NULL inputs as the report's own sums do, and is NULL only if
+    all are. Sums are of DECIMAL values, so any grouping gives the same result.
+    ``stored`` says that the fact comes from :func:`store_sales`: days are then
+    pruned at run time, and the lines stay in one branch, whose buckets make
+    the sum and the order join free of exchanges (a union would lose them).
+    """
+    lines = _fact_lines(t, min_fiscal_month, not stored, split=not stored)
+    groups = lines.groupBy(*FACT_KEYS).agg(*[F.sum(c).alias(c) for c in ("LINES", *PARTS)])
+    return _attributes(t, groups, min_fiscal_month)
+
+
+def _attributes(t: Tables, s: DataFrame, min_fiscal_month: str) -> DataFrame:
+    """Join every dimension to fact lines, or to groups of them."""
     bmd = biomed_dimension(t).select(
         F.col("DIM_BIOMED_SLS_ID"), "REF_NUM", "DEVICE_CD", "ASSET_ID", "REPAIR_TKT_NUM", "TYPE",
         "RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2", "RENT_FISC_YR_MTH_NUM")
@@ -152,6 +223,12 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
     j = repeat_rows(j, "DIM_COGS_GL_ACCT_ID", t["gl_accounts"], "DIM_GL_ACCT_ID")
     j = repeat_rows(j, "DIM_ACCT_MGR_CURR_ID", t["account_managers"], "DIM_ACCT_MGR_CURR_ID")
 
+    def by_account(part: str, without: Column) -> Column:
+        # A line without a cost account costs 0, so its margin is its net.
+        account, first, second = F.col("GLS_OBJ_ACCT_CD"), *COST_ACCOUNTS
+        return (F.when(account == F.lit(first), F.col(f"{part}_{first}"))
+                .when(account == F.lit(second), F.col(f"{part}_{second}")).otherwise(without))
+
     item, sub = F.col("ITEM_E1_NUM"), F.col("PROD_SUB_CTGRY_LVL4_DSC")
     line, cust = F.col("LINE_TYPE_CD"), F.col("CUST_E1_NUM")
     return j.select(
@@ -170,43 +247,60 @@ def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
         R.sales_type(item, cust, line, sub).alias("SALES_TYPE"),
         R.consolidated_sales_type(item, cust, line, sub).alias("CONSOL_SALES_TYPE"),
         "LINE_TYPE_CD", "LINE_TYPE_DSC", "ORDR_TYPE_CD", "ORDR_TYPE_DSC", DIVISOR_KEY,
-        "ASSET_ID", "STNDRD_COST_AMT", "EXT_NET_SLS_AMT",
-        R.gl_cost(F.col("GLS_OBJ_ACCT_CD"), F.col("EXT_NET_SLS_AMT"),
-                  F.col("EXT_SELL_GP_FIN_AMT"), F.col("EXT_COGS_ACQ_AMT")).alias("GL_COST"),
+        "ASSET_ID", "STNDRD_COST_AMT", "LINES", NET,
+        by_account("COST", F.lit(0)).alias("GL_COST"), by_account("MARGIN", F.col(NET)).alias("GL_MARGIN"),
     )
 
 
 UOM_SCALE = 6
 
 
-def uom_cost_sum() -> Column:
-    """Sum of cost per primary unit, rounded once after the sum (zero divisor: 0; NULL: skipped)."""
+def uom_cost_sum(lines: Column | None = None) -> Column:
+    """Sum of cost per primary unit, rounded once after the sum (zero divisor: 0; NULL: skipped).
+
+    ``lines`` is the number of lines a row stands for. A quotient has too many
+    digits to be multiplied in DECIMAL(38), so its whole and broken parts are
+    multiplied and summed apart; nothing is rounded before the end.
+    """
     divisor = F.col(DIVISOR_KEY)
-    return F.round(F.sum(F.when(divisor == 0, F.lit(0)).otherwise(F.col("STNDRD_COST_AMT") / divisor)), UOM_SCALE)
+    quotient = F.when(divisor == 0, F.lit(0)).otherwise(F.col("STNDRD_COST_AMT") / divisor)
+    if lines is None:
+        return F.round(F.sum(quotient), UOM_SCALE)
+    n = lines.cast("decimal(17,0)")
+    whole = F.when(quotient < 0, F.ceil(quotient)).otherwise(F.floor(quotient)).cast("decimal(20,0)")
+    broken = (quotient - whole).cast("decimal(20,20)")
+    exact = F.sum(whole * n).cast("decimal(18,0)") + F.sum(broken * n).cast("decimal(38,20)")
+    return F.round(exact, UOM_SCALE).cast("decimal(25,6)")
 
 
 def measures(with_uom_cost: bool) -> list[Column]:
-    """The report's measures, in order."""
-    item, net, cost = F.col("ITEM_E1_NUM"), F.col("EXT_NET_SLS_AMT"), F.col("GL_COST")
-    zero = F.lit(0)
+    """The report's measures over :func:`sales_lines` or :func:`sales_groups`, in order."""
+    item, net, cost, margin = (F.col(c) for c in ("ITEM_E1_NUM", NET, "GL_COST", "GL_MARGIN"))
+    zero, lines = F.lit(0), F.col("LINES")
     oem = F.when(item == F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
     non_oem = F.when(item != F.lit(R.OEM_FEE_ITEM), net).otherwise(zero)
     service = F.when(item.isin(list(R.SERVICE_FEE_ITEMS)), net).otherwise(zero)
+    # Net outside OEM fees less cost, line by line.
+    less_cost = F.when(item != F.lit(R.OEM_FEE_ITEM), margin).otherwise(-cost)
     named = [
-        ("TTL_DEVICE_QTY", F.count("ASSET_ID")),
-        *([("PRIMARY_UOM_COST", uom_cost_sum())] if with_uom_cost else []),
-        ("STNDRD_COST_AMT", F.sum("STNDRD_COST_AMT")),
+        ("TTL_DEVICE_QTY", F.sum(F.when(F.col("ASSET_ID").isNotNull(), lines).otherwise(zero))),
+        *([("PRIMARY_UOM_COST", uom_cost_sum(lines))] if with_uom_cost else []),
+        ("STNDRD_COST_AMT", F.sum(F.col("STNDRD_COST_AMT") * lines.cast("decimal(18,0)"))),
         ("OEM_FEES", F.sum(oem)),
         ("SERVICE_FEES", F.sum(service)),
-        ("GL_SELL_GP", F.sum(net - cost)),
+        ("GL_SELL_GP", F.sum(margin)),
         ("GL_COGS", F.sum(cost)),
         ("SLS_OEM_FEES", F.sum(oem)),
         ("SLS_EXCL_OEM_FEES", F.sum(non_oem)),
-        ("GL_SELL_GP_EXCL_OEM_FEES", F.sum(non_oem - cost)),
+        ("GL_SELL_GP_EXCL_OEM_FEES", F.sum(less_cost)),
         ("NET_SLS", F.sum(net)),
     ]
-    return [value.alias(name) for name, value in named]
+    return [value.cast(MEASURE_TYPES.get(name, "decimal(28,4)")).alias(name) for name, value in named]
+
 
+# Types of the measures that are no sum of DECIMAL(18,4) inputs.
+MEASURE_TYPES = {"TTL_DEVICE_QTY": "long", "PRIMARY_UOM_COST": "decimal(25,6)", "GL_COGS": "decimal(29,4)",
+                 "GL_SELL_GP": "decimal(30,4)", "GL_SELL_GP_EXCL_OEM_FEES": "decimal(30,4)"}
 
 # Report keys the rows are dealt by: part of every grouping below, and no
 # single combination of their values holds many lines.
@@ -214,7 +308,7 @@ DEALT_BY = ("ORDR_NUM", "INV_NUM", "ITEM_E1_NUM", "DEVICE_CD")
 
 
 def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost: bool = True,
-                 merge_other: bool = False) -> DataFrame:
+                 merge_other: bool = False, stored: bool = False) -> DataFrame:
     """Aggregated, de-duplicated transactions.
 
     Device groups are grouped by their *raw* values and labelled afterwards,
@@ -222,20 +316,21 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
     that print alike, and the DISTINCT merges such rows only when every
     measure is equal. ``merge_other=True`` groups by the label (sums them).
 
-    The lines are dealt once by ``DEALT_BY``; GROUP BY and DISTINCT both
+    The groups of lines are dealt once by ``DEALT_BY``; GROUP BY and DISTINCT both
     contain those keys, so neither needs an exchange of its own.
     """
-    lines = sales_lines(t, min_fiscal_month=min_fiscal_month).repartition(*DEALT_BY)
+    groups = sales_groups(t, min_fiscal_month=min_fiscal_month, stored=stored).repartition(*DEALT_BY)
     keys = [*KEYS, *([DIVISOR_KEY] if with_uom_cost else [])]
     raw = [] if merge_other else ["RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2"]
-    grouped = lines.groupBy(*keys, *raw).agg(*measures(with_uom_cost)).drop(*raw)
+    grouped = groups.groupBy(*keys, *raw).agg(*measures(with_uom_cost)).drop(*raw)
     names = [c for c in grouped.columns if c not in keys]
     return grouped.select(*keys[:13], R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
                           *keys[13:], *names).distinct()
 
 
 def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
-                 with_uom_cost: bool = True, merge_other: bool = False) -> DataFrame:
+                 with_uom_cost: bool = True, merge_other: bool = False,
+                 stored: bool = False) -> DataFrame:
     """The biomed sales transactions report with the specialist name.
 
     ``with_uom_cost=False`` gives the published-view variant (no divisor key,
@@ -243,12 +338,37 @@ def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
     rows, once per specialist.
     """
     rows = transactions(t, min_fiscal_month=min_fiscal_month, with_uom_cost=with_uom_cost,
-                        merge_other=merge_other)
+                        merge_other=merge_other, stored=stored)
     names = biomed_rep(t, as_of=as_of).select(F.col("BILL_TO_CUST_NUM").alias("sp_bill_to"),
                                               F.col("ACCT_MGR_NAME").alias("BIOMED_SPECIALIST_NAME"))
     return rows.join(names, rows.BILL_TO_CUST_NUM == names.sp_bill_to, "left").drop("sp_bill_to")
 
 
+def store_sales(t: Tables, prefix: str = "", *, buckets: int = 64) -> Tables:
+    """Store the fact and the order dimension for the report, and read them from there.
+
+    The fact is partitioned by its day id and both are bucketed by the order
+    id: with ``stored=True`` the report reads the selected days only, without a
+    job to find them, and sums lines and joins orders without an exchange. Rows
+    are dealt by day and bucket before they are written, so a bucket of a day
+    is one file; ``buckets`` should keep a bucket of the whole selection within
+    an executor's memory. Lines of one order stay together, so don't bucket a
+    fact where a single order id (such as one for "unknown") holds much of it.
+    The tables are replaced. Dimensions stay where they are.
+    """
+    names = {"fact_sales": ("SLS_ID", "DIM_GL_DT_ID"), "biomed_sales": ("DIM_BIOMED_SLS_ID", None)}
+    stored = {}
+    for logical, (order, day) in names.items():
+        df = t[logical]
+        # Spark's bucket of a row, so that a bucket is written by few tasks.
+        bucket = F.pmod(F.hash(order), F.lit(buckets))
+        rows = df.repartition(*([day] if day else []), bucket)
+        out = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, order).sortBy(order)
+        (out.partitionBy(day) if day else out).saveAsTable(prefix + logical)
+        stored[logical] = t.spark.table(prefix + logical)
+    return t.override(**stored)
+
+
 def publish_table(df: DataFrame, name: str = "BIOMED_SALES_QUERY") -> DataFrame:
     """Publish a report as a catalog table that other sessions can read; an existing one is replaced."""
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
@@ -268,32 +388,56 @@ def publish_view(df: DataFrame, name: str = "BIOMED_SALES_QUERY", global_view: b
 # Smaller reports over the same lines
 # ---------------------------------------------------------------------------
 
-# What the line-level reports read of a sales line.
-LINE_COLUMNS = ("SALES_TYPE", "CONSOL_SALES_TYPE", "FISC_YR_MTH_NUM", "PRMRY_UOM", DIVISOR_KEY, "ITEM_E1_NUM",
-                "ASSET_ID", "STNDRD_COST_AMT", "EXT_NET_SLS_AMT", "GL_COST")
+# Keys of the line-level reports.
+REPORT_SETS = {"sales_type_mix": ("SALES_TYPE", "CONSOL_SALES_TYPE"), "gl_measures": ("FISC_YR_MTH_NUM",),
+               "uom_cost": ("PRMRY_UOM", DIVISOR_KEY)}
+
+
+def _line_count() -> Column:
+    return F.sum("LINES").alias("LINE_COUNT")
 
 
 def sales_type_mix(t: Tables, *, min_fiscal_month: str = "202400",
                    lines: DataFrame | None = None) -> DataFrame:
     """Line count and net sales per sales type and consolidated type."""
-    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return (lines.groupBy("SALES_TYPE", "CONSOL_SALES_TYPE")
-            .agg(F.count(F.lit(1)).alias("LINE_COUNT"), F.sum("EXT_NET_SLS_AMT").alias("NET_SLS")))
+    lines = lines if lines is not None else sales_groups(t, min_fiscal_month=min_fiscal_month)
+    return (lines.groupBy(*REPORT_SETS["sales_type_mix"])
+            .agg(_line_count(), F.sum(NET).cast("decimal(28,4)").alias("NET_SLS")))
 
 
 def gl_measures(t: Tables, *, min_fiscal_month: str = "202400",
                 lines: DataFrame | None = None) -> DataFrame:
     """Fee and GL measures per fiscal month."""
-    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return lines.groupBy("FISC_YR_MTH_NUM").agg(*measures(False))
+    lines = lines if lines is not None else sales_groups(t, min_fiscal_month=min_fiscal_month)
+    return lines.groupBy(*REPORT_SETS["gl_measures"]).agg(*measures(False))
 
 
 def uom_cost(t: Tables, *, min_fiscal_month: str = "202400",
              lines: DataFrame | None = None) -> DataFrame:
     """Primary-UOM cost per unit of measure and divisor."""
-    lines = lines if lines is not None else sales_lines(t, min_fiscal_month=min_fiscal_month)
-    return (lines.groupBy("PRMRY_UOM", DIVISOR_KEY)
-            .agg(uom_cost_sum().alias("PRIMARY_UOM_COST"), F.count(F.lit(1)).alias("LINE_COUNT")))
+    lines = lines if lines is not None else sales_groups(t, min_fiscal_month=min_fiscal_month)
+    return (lines.groupBy(*REPORT_SETS["uom_cost"])
+            .agg(uom_cost_sum(F.col("LINES")).alias("PRIMARY_UOM_COST"), _line_count()))
+
+
+def report_sets(t: Tables, *, min_fiscal_month: str = "202400",
+                lines: DataFrame | None = None) -> DataFrame:
+    """All line-level reports from one run of the joins, as grouping sets.
+
+    ``REPORT`` names the set a row belongs to; keys of the other sets are NULL
+    (a NULL key of the own set too, so tell sets apart by ``REPORT``). Every
+    set has all measures. Partial sums stand before the only shuffle, so the
+    rows that meet there are few, however many lines there are.
+    """
+    lines = lines if lines is not None else sales_groups(t, min_fiscal_month=min_fiscal_month)
+    keys = [k for of in REPORT_SETS.values() for k in of]
+    # The grouping id has a bit for each key, the first key's highest; 1 where the set lacks it.
+    ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in of): name
+           for name, of in REPORT_SETS.items()}
+    named = F.coalesce(*[F.when(F.col("__set") == i, F.lit(name)) for i, name in ids.items()])
+    rows = (lines.groupingSets([[F.col(k) for k in of] for of in REPORT_SETS.values()], *keys)
+            .agg(F.grouping_id().alias("__set"), _line_count(), *measures(True)))
+    return rows.select(named.alias("REPORT"), *[c for c in rows.columns if c != "__set"])
 
 
 def unreadable_rent_starts(t: Tables) -> DataFrame:
@@ -340,45 +484,42 @@ def other_group_semantics(t: Tables, *, min_fiscal_month: str = "202400",
 def join_key_audit(t: Tables, *, as_of=None) -> DataFrame:
     """Repeated join keys of the dimensions the jobs join to (each repeat
     multiplies rows)."""
-    audits = [
-        key_multiplicity(t["biomed_sales"], "DIM_BIOMED_SLS_ID", "V_DIM_BIOMED_SLS"),
-        key_multiplicity(t["price_list"].where(F.col("PLTORG") == "OT"), "PLY553PLITM",
-                         "SRC_E1_MMS_F55413PL"),
-        key_multiplicity(t["device_index"], "DEVICE_CODE", "MR_DEVICE_INDEX"),
-        key_multiplicity(t["period"], "DT", "V_DIM_PERIOD"),
-        key_multiplicity(t["period"], "DIM_PERIOD_ID", "V_DIM_PERIOD id"),
-        key_multiplicity(t["gl_accounts"], "DIM_GL_ACCT_ID", "V_DIM_GL_ACCT"),
-        key_multiplicity(t["trans_types"], "DIM_TRANS_TYPE_ID", "V_DIM_TRANS_TYPE"),
-        key_multiplicity(biomed_rep(t, as_of=as_of), "BILL_TO_CUST_NUM", "specialists"),
-        key_multiplicity(t["devices"], "BarCodeNumber", "qryDevices barcode"),
-        key_multiplicity(t["devices"], "DeviceUID", "qryDevices uid"),
-        key_multiplicity(t["clients"], "ID", "Clients id"),
-        key_multiplicity(t["clients"], "PK_ClientId", "Clients key"),
-        key_multiplicity(t["associates"], "UserId", "Associates"),
-        key_multiplicity(t["event_codes"], "Code", "EventCodes"),
-        key_multiplicity(t["account_managers"], "DIM_ACCT_MGR_CURR_ID", "V_DIM_ACCT_MGR_CURR"),
-        key_multiplicity(t["customers_blend"], "DIM_CUST_CURR_ID", "V_DIM_CUST_E1_BLEND_CURR"),
-        key_multiplicity(t["items"], "DIM_ITEM_E1_CURR_ID", "V_DIM_ITEM_E1_CURR"),
-        key_multiplicity(t["oem_info"], "EquipmentTypeId", "EquipmentTypeOEMInfo"),
-        key_multiplicity(t["import_history"], "FK_DeviceId", "E1ImportHistory"),
-    ]
-    return union_audits(audits)
+    return key_multiplicities([
+        (t["biomed_sales"], {"DIM_BIOMED_SLS_ID": "V_DIM_BIOMED_SLS"}),
+        (t["price_list"].where(F.col("PLTORG") == "OT"), {"PLY553PLITM": "SRC_E1_MMS_F55413PL"}),
+        (t["device_index"], {"DEVICE_CODE": "MR_DEVICE_INDEX"}),
+        (t["period"], {"DT": "V_DIM_PERIOD", "DIM_PERIOD_ID": "V_DIM_PERIOD id"}),
+        (t["gl_accounts"], {"DIM_GL_ACCT_ID": "V_DIM_GL_ACCT"}),
+        (t["trans_types"], {"DIM_TRANS_TYPE_ID": "V_DIM_TRANS_TYPE"}),
+        (biomed_rep(t, as_of=as_of), {"BILL_TO_CUST_NUM": "specialists"}),
+        (t["devices"], {"BarCodeNumber": "qryDevices barcode", "DeviceUID": "qryDevices uid"}),
+        (t["clients"], {"ID": "Clients id", "PK_ClientId": "Clients key"}),
+        (t["associates"], {"UserId": "Associates"}),
+        (t["event_codes"], {"Code": "EventCodes"}),
+        (t["account_managers"], {"DIM_ACCT_MGR_CURR_ID": "V_DIM_ACCT_MGR_CURR"}),
+        (t["customers_blend"], {"DIM_CUST_CURR_ID": "V_DIM_CUST_E1_BLEND_CURR"}),
+        (t["items"], {"DIM_ITEM_E1_CURR_ID": "V_DIM_ITEM_E1_CURR"}),
+        (t["oem_info"], {"EquipmentTypeId": "EquipmentTypeOEMInfo"}),
+        (t["import_history"], {"FK_DeviceId": "E1ImportHistory"}),
+    ])
 
 
 def sales_reports(t: Tables, *, min_fiscal_month: str = "202400",
                   materialize: bool = True) -> dict[str, DataFrame]:
-    """The line-level reports computed from one set of sales lines.
+    """The line-level reports computed in one pass (:func:`report_sets`).
 
-    With ``materialize`` the columns they need are checkpointed once in the
-    shared checkpoint folder and every report reads them,
-    instead of each report re-running the joins; the checkpoint also cuts
-    the lineage, so a lost executor only recomputes from the saved lines.
+    With ``materialize`` the few rows of all reports are checkpointed in the
+    shared checkpoint folder, so that reading the second report runs nothing
+    again and a lost executor takes no lineage with it.
     """
-    lines = sales_lines(t, min_fiscal_month=min_fiscal_month).select(*LINE_COLUMNS)
+    rows = report_sets(t, min_fiscal_month=min_fiscal_month)
     if materialize:
-        lines = checkpointed(lines)
+        rows = checkpointed(rows)
+    of = lambda name, *columns: (rows.where(F.col("REPORT") == name)
+                                 .select(*REPORT_SETS[name], *columns))
+    month = [c for c in rows.columns[rows.columns.index("TTL_DEVICE_QTY"):] if c != "PRIMARY_UOM_COST"]
     return {
-        "sales_type_mix": sales_type_mix(t, lines=lines),
-        "gl_measures": gl_measures(t, lines=lines),
-        "uom_cost": uom_cost(t, lines=lines),
+        "sales_type_mix": of("sales_type_mix", "LINE_COUNT", "NET_SLS"),
+        "gl_measures": of("gl_measures", *month),
+        "uom_cost": of("uom_cost", "PRIMARY_UOM_COST", "LINE_COUNT"),
     }

@@ -28,6 +28,17 @@ def test_after_latest_keeps_rows_after_the_overall_latest_marker(spark):
     assert got == [2]   # 1 is before a's latest mark, 3 is not strictly after, c has none
 
 
+def test_many_audits_equal_single_ones(spark):
+    from devicelens.operators.audit import key_multiplicities
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, None), (None, "<null>"), (None, "<null>")], "k int, v string")
+    b = spark.createDataFrame([(1,), (1,), (1,)], "k int")
+    got = key_multiplicities([(a, {"k": "A k", "v": "A v"}), (b, {"k": "B"}), (b.limit(0), {"k": "C"})])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = key_multiplicity(a, "k", "A k").union(key_multiplicity(a, "v", "A v")).union(key_multiplicity(b, "k", "B"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 6
+
+
 def test_key_multiplicity_reports_repeated_keys_only(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "p"), (None, "q")],
                                "k long, v string")

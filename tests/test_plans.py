@@ -54,6 +54,33 @@ def test_report_is_dealt_once_for_group_by_and_distinct(driver_t, no_broadcast):
     assert above.count("HashAggregate") + above.count("SortAggregate") == 4
 
 
+def test_lines_are_summed_while_narrow(driver_t, no_broadcast):
+    """The only exchange of single fact lines carries their keys and partial sums; the joins see groups."""
+    p = plan(S.sales_groups(driver_t, min_fiscal_month="199500"))
+    lines = p.split("Exchange hashpartitioning(SLS_ID")
+    # The order join's exchange stands above the sum, which has its own below.
+    assert "HashAggregate(keys=[SLS_ID" in lines[1] and "partial_sum(LINES" in lines[2]
+
+
+def test_stored_sales_are_pruned_and_joined_without_exchange(spark, driver_t):
+    # Few days, on both sides of the first selected month.
+    some = driver_t["fact_sales"].where("DIM_GL_DT_ID BETWEEN 19970301 AND 19970420")
+    driver_t = driver_t.override(fact_sales=some)
+    t = S.store_sales(driver_t, "laid_out_", buckets=4)
+    try:
+        first = driver_t["period"].where("DIM_PERIOD_ID = 19970401").first().FISC_YR_MTH_NUM
+        kw = dict(min_fiscal_month=first, stored=True)
+        p = plan(S.sales_groups(t, **kw))
+        assert "dynamicpruning" in p and "SelectedBucketsCount: 4 out of 4" in p
+        same = lambda df: sorted(map(str, df.collect()))
+        assert same(S.transactions(t, **kw)) == same(S.transactions(driver_t, min_fiscal_month=first))
+        assert 0 < t["fact_sales"].where("DIM_GL_DT_ID >= 19970401").count() < some.count()
+        assert "hashpartitioning(SLS_ID" not in p and "hashpartitioning(DIM_BIOMED" not in p
+    finally:
+        for name in ("fact_sales", "biomed_sales"):
+            spark.sql(f"DROP TABLE laid_out_{name}")
+
+
 def test_hot_bill_to_is_spread(spark, driver_t, no_broadcast):
     from pyspark.sql import functions as F
 

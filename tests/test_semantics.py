@@ -141,6 +141,62 @@ def test_report_pack_reads_checkpointed_lines(driver_t, spark):
     assert spark.sparkContext.getCheckpointDir()
 
 
+def test_report_sets_equal_the_single_reports(driver_t):
+    kw = dict(min_fiscal_month="199500")
+    lines = S.sales_lines(driver_t, **kw)
+    pack = S.sales_reports(driver_t, materialize=False, **kw)
+    same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
+    for name in S.REPORT_SETS:
+        single = getattr(S, name)(driver_t, lines=lines, **kw)
+        assert pack[name].dtypes == single.dtypes
+        assert same(pack[name]) == same(single), name
+
+
+def _many_lines(driver_t):
+    """Facts with repeated keys, NULL flags, customers and amounts; repeated dimension keys."""
+    f = driver_t["fact_sales"]
+    odd = F.col("SLS_ID") % 5
+    f = (f.withColumn("BIOMED_FLG", F.when(odd == 0, F.lit(None)).otherwise(F.col("BIOMED_FLG")))
+         .withColumn("EXT_NET_SLS_AMT", F.when(odd == 1, F.lit(None)).otherwise(F.col("EXT_NET_SLS_AMT")))
+         .withColumn("EXT_COGS_ACQ_AMT", F.when(odd == 2, F.lit(None)).otherwise(F.col("EXT_COGS_ACQ_AMT"))))
+    repeated = f.unionByName(f.where(odd < 3)).unionByName(f.withColumn("EXT_SELL_GP_FIN_AMT", -F.col("EXT_SELL_GP_FIN_AMT")))
+    double = lambda name, where: driver_t[name].unionByName(driver_t[name].where(where))
+    return driver_t.override(
+        fact_sales=repeated, gl_accounts=double("gl_accounts", "DIM_GL_ACCT_ID IN (1, 3)"),
+        items=double("items", "DIM_ITEM_E1_CURR_ID % 7 = 0"), biomed_sales=double("biomed_sales", "DIM_BIOMED_SLS_ID % 3 = 0"),
+        account_managers=double("account_managers", "DIM_ACCT_MGR_CURR_ID % 2 = 0"),
+        # The same customer with and without a biomed account.
+        customers_blend=driver_t["customers_blend"].unionByName(
+            driver_t["customers_blend"].where("DIM_CUST_CURR_ID % 4 = 0").withColumn("BIOMED_ACCT_FLG", F.lit(None).cast("string"))))
+
+
+def test_sums_before_the_joins_equal_sums_after_them(driver_t, monkeypatch):
+    t, kw = _many_lines(driver_t), dict(min_fiscal_month="199500")
+    same = lambda df: digest(df.columns, [tuple(r) for r in df.collect()])
+    assert S.sales_groups(t, **kw).count() < 0.6 * S.sales_lines(t, **kw).count()
+    got = [same(S.transactions(t, **kw)), same(S.gl_measures(t, **kw)), same(S.uom_cost(t, **kw))]
+    monkeypatch.setattr(S, "sales_groups", S.sales_lines)
+    monkeypatch.setattr(S, "biomed_facts", lambda t, facts: facts)
+    assert [same(S.transactions(t, **kw)), same(S.gl_measures(t, **kw)), same(S.uom_cost(t, **kw))] == got
+
+
+def test_flag_branches_keep_every_reported_line(driver_t):
+    t = _many_lines(driver_t)
+    kept = S.biomed_facts(t, t["fact_sales"])
+    flagged = [r[0] for r in t["customers_blend"].where("BIOMED_ACCT_FLG = 'Y'").select("DIM_CUST_CURR_ID").distinct().collect()]
+    want = t["fact_sales"].where((F.col("BIOMED_FLG") == "Y") | F.col("DIM_CUST_CURR_ID").isin(flagged))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+    assert 0 < kept.where("BIOMED_FLG IS NULL").count() < t["fact_sales"].where("BIOMED_FLG IS NULL").count()
+
+
+def test_weighted_unit_cost_is_exact(spark):
+    df = spark.sql("SELECT CAST(d AS DECIMAL(18,4)) AS PRMRY_TO_SELL_DIVISOR, CAST(c AS DECIMAL(18,4)) AS STNDRD_COST_AMT, "
+                   "CAST(n AS BIGINT) AS LINES FROM VALUES (3, 1.0, 300000), (7, -2.5, 70001), (0, 9.9, 5), (3, 10000000.0001, 900000), "
+                   "(NULL, 1.0, 2), (7, NULL, 3) AS v(d, c, n)")
+    lines = df.withColumn("LINES", F.explode(F.sequence(F.lit(1), F.col("LINES").cast("int"))))
+    assert df.agg(S.uom_cost_sum(F.col("LINES")).alias("x")).first().x == lines.agg(S.uom_cost_sum().alias("x")).first().x
+
+
 def test_sales_types_are_total(driver_t):
     lines = S.sales_lines(driver_t, min_fiscal_month="199500")
     nulls = lines.where(F.col("SALES_TYPE").isNull() | F.col("CONSOL_SALES_TYPE").isNull())
