@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, checks confirm them (octets of an address,
 Luhn for cards, mod-97 for account numbers, digit counts for phones), and
-context words nearby raise a span's score.
+context words nearby raise a span's score. The query returns every span's score
+in hundredths (``scores``, in the order of ``spans``).
 
 The patterns equal the documented ones but loop over single characters only,
 so a run of any length needs no stack: separators or dots that can't be part
@@ -143,14 +144,15 @@ def redact(docs: DataFrame, *, least_score: float = 0.5, doc_id: str = "doc_id",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document, as counts and digests of the spans."""
+    """Personal data in every document, as counts, digests, positions and scores of the spans."""
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.concat_ws(",", F.transform(of(*BASE_KINDS), line)), 256).alias("base_sha256"),
-        F.concat_ws(",", F.transform("spans", line)).alias("spans"))
+        F.concat_ws(",", F.transform("spans", line)).alias("spans"),
+        F.concat_ws(",", F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string"))).alias("scores"))
 
 
 _BASE = {
@@ -178,11 +180,14 @@ _VALID = {
 def _oracle() -> str:
     parts = []
     for number, kind in enumerate(KINDS):
+        least, more = round(100 * SCORES[kind]), round(100 * CONTEXT_BONUS)
         parts.append(f"""
-  SELECT doc_id, {number} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
-    SELECT doc_id, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+  SELECT doc_id, {number} AS k, '{kind}' AS kind, s, s + length(m) AS e,
+    {least} + CASE WHEN regexp_matches(lower(substring(text, greatest(s - {CONTEXT_CHARS}, 0) + 1, s - greatest(s - {CONTEXT_CHARS}, 0))
+      || ' ' || substring(text, s + length(m) + 1, {CONTEXT_CHARS})), '(^|[^a-z])({CONTEXT[kind]})') THEN {more} ELSE 0 END AS score FROM (
+    SELECT doc_id, text, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
       + coalesce(list_sum(list_transform(found[1 : i - 1], lambda g: length(g))), 0) AS BIGINT) AS s
-    FROM (SELECT doc_id, regexp_extract_all(text, '{_BASE[kind]}') AS found,
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '{_BASE[kind]}') AS found,
         string_split_regex(text, '{_BASE[kind]}') AS gaps FROM d) AS x,
       unnest(range(1, len(found) + 1)) AS u(i)) AS y WHERE {_VALID[kind]}""")
     base = "k < 4"
@@ -193,7 +198,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {counts},
   sha256(coalesce(string_agg({line}, ',' ORDER BY k, s) FILTER (WHERE {base}), '')) AS base_sha256,
-  coalesce(string_agg({line}, ',' ORDER BY k, s), '') AS spans
+  coalesce(string_agg({line}, ',' ORDER BY k, s), '') AS spans,
+  coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, s), '') AS scores
 FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
 """
 

@@ -64,6 +64,14 @@ def test_context_raises_the_score(make):
     assert got[2] == pytest.approx(got[1] + pii.CONTEXT_BONUS)
 
 
+def test_context_reaches_the_query(spark, tmp_path):
+    texts = [(1, "see 4111111111111111 or 1.2.3.4"), (2, "my credit card 4111111111111111"), (3, None), (4, "x" * 39 + " 1.2.3.4 host"),
+             (5, "host " + "x" * 36 + " 1.2.3.4"), (6, "ship 1.2.3.4")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.scores for r in pii.query(spark, str(tmp_path)).collect()}
+    assert got == {1: "60,80", 2: "95", 3: "", 4: "75", 5: "60", 6: "60"}
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = pii.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
