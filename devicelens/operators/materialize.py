@@ -9,6 +9,8 @@ executor) is never used.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from devicelens.session import ensure_checkpoint_dir
@@ -18,3 +20,11 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint of ``df`` in the session's checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet to the session's shared folder; the folder written, for SQL that names its input."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path

@@ -140,6 +140,21 @@ def biomed_facts(t: Tables, facts: DataFrame) -> DataFrame:
         others.join(flagged, others.DIM_CUST_CURR_ID == flagged.flagged_id, "left_semi"))
 
 
+def line_inputs() -> list[Column]:
+    """Keys, ``LINES`` = 1 and measure inputs of a fact line."""
+    net = F.col(NET)
+    costs = {a: R.gl_cost(F.lit(a), net, F.col("EXT_SELL_GP_FIN_AMT"), F.col("EXT_COGS_ACQ_AMT"))
+             for a in COST_ACCOUNTS}
+    return [*[F.col(c) for c in FACT_KEYS], F.lit(1).cast("long").alias("LINES"), net,
+            *[c for a, cost in costs.items()
+              for c in (cost.alias(f"COST_{a}"), (net - cost).alias(f"MARGIN_{a}"))]]
+
+
+def line_sums() -> list[Column]:
+    """``LINES`` and the measure inputs summed over a group of lines."""
+    return [F.sum(c).alias(c) for c in ("LINES", *PARTS)]
+
+
 def _fact_lines(t: Tables, min_fiscal_month: str, derive_date_range: bool, split: bool = True) -> DataFrame:
     """Fact lines that the report can hold: their keys, ``LINES`` = 1 and measure inputs."""
     s = t["fact_sales"]
@@ -151,13 +166,7 @@ def _fact_lines(t: Tables, min_fiscal_month: str, derive_date_range: bool, split
         days = (t["period"].where(F.col("FISC_YR_MTH_NUM") >= F.lit(min_fiscal_month))
                 .select(F.col("DIM_PERIOD_ID").alias("selected_day")))
         s = s.join(days, s.DIM_GL_DT_ID == days.selected_day, "left_semi")
-    net = F.col(NET)
-    costs = {a: R.gl_cost(F.lit(a), net, F.col("EXT_SELL_GP_FIN_AMT"), F.col("EXT_COGS_ACQ_AMT"))
-             for a in COST_ACCOUNTS}
-    return (biomed_facts(t, s) if split else s).select(
-        *FACT_KEYS, F.lit(1).cast("long").alias("LINES"), NET,
-        *[c for a, cost in costs.items()
-          for c in (cost.alias(f"COST_{a}"), (net - cost).alias(f"MARGIN_{a}"))])
+    return (biomed_facts(t, s) if split else s).select(*line_inputs())
 
 
 def sales_lines(t: Tables, *, min_fiscal_month: str = "202400",
@@ -189,7 +198,7 @@ def sales_groups(t: Tables, *, min_fiscal_month: str = "202400", stored: bool =
     the sum and the order join free of exchanges (a union would lose them).
     """
     lines = _fact_lines(t, min_fiscal_month, not stored, split=not stored)
-    groups = lines.groupBy(*FACT_KEYS).agg(*[F.sum(c).alias(c) for c in ("LINES", *PARTS)])
+    groups = lines.groupBy(*FACT_KEYS).agg(*line_sums())
     return _attributes(t, groups, min_fiscal_month)
 
 
@@ -223,6 +232,11 @@ def _attributes(t: Tables, s: DataFrame, min_fiscal_month: str) -> DataFrame:
     j = repeat_rows(j, "DIM_COGS_GL_ACCT_ID", t["gl_accounts"], "DIM_GL_ACCT_ID")
     j = repeat_rows(j, "DIM_ACCT_MGR_CURR_ID", t["account_managers"], "DIM_ACCT_MGR_CURR_ID")
 
+    return j.select(*attributes())
+
+
+def attributes() -> list[Column | str]:
+    """What the report groups by and sums, over lines or groups of them with every dimension joined."""
     def by_account(part: str, without: Column) -> Column:
         # A line without a cost account costs 0, so its margin is its net.
         account, first, second = F.col("GLS_OBJ_ACCT_CD"), *COST_ACCOUNTS
@@ -231,7 +245,7 @@ def _attributes(t: Tables, s: DataFrame, min_fiscal_month: str) -> DataFrame:
 
     item, sub = F.col("ITEM_E1_NUM"), F.col("PROD_SUB_CTGRY_LVL4_DSC")
     line, cust = F.col("LINE_TYPE_CD"), F.col("CUST_E1_NUM")
-    return j.select(
+    return [
         "BIOMED_FLG", "ORDR_NUM", F.col("REF_NUM").alias("OTORDERNUM"), "DEVICE_CD",
         "PARNT_SUPLR_NAME", "ITEM_E1_NUM", "ITEM_DSC", "TYPE", "PRMRY_UOM", "BIOMED_ACCT_FLG",
         "DIM_ACCT_MGR_CURR_ID", "BILL_TO_CUST_NUM", "MSTR_GRP_NAME",
@@ -249,7 +263,7 @@ def _attributes(t: Tables, s: DataFrame, min_fiscal_month: str) -> DataFrame:
         "LINE_TYPE_CD", "LINE_TYPE_DSC", "ORDR_TYPE_CD", "ORDR_TYPE_DSC", DIVISOR_KEY,
         "ASSET_ID", "STNDRD_COST_AMT", "LINES", NET,
         by_account("COST", F.lit(0)).alias("GL_COST"), by_account("MARGIN", F.col(NET)).alias("GL_MARGIN"),
-    )
+    ]
 
 
 UOM_SCALE = 6
@@ -323,9 +337,13 @@ def transactions(t: Tables, *, min_fiscal_month: str = "202400", with_uom_cost:
     keys = [*KEYS, *([DIVISOR_KEY] if with_uom_cost else [])]
     raw = [] if merge_other else ["RAW_GROUP_LVL_1", "RAW_GROUP_LVL_2"]
     grouped = groups.groupBy(*keys, *raw).agg(*measures(with_uom_cost)).drop(*raw)
-    names = [c for c in grouped.columns if c not in keys]
-    return grouped.select(*keys[:13], R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"),
-                          *keys[13:], *names).distinct()
+    return grouped.select(*report_columns(keys, grouped.columns)).distinct()
+
+
+def report_columns(keys: list[str], columns: list[str]) -> list[Column | str]:
+    """The report's columns in order, from its keys and the columns of the grouped rows."""
+    return [*keys[:13], R.group_name_trim(F.col("MSTR_GRP_NAME")).alias("MSTR_GRP_NAME_TRIM"), *keys[13:],
+            *[c for c in columns if c not in keys]]
 
 
 def biomed_sales(t: Tables, *, min_fiscal_month: str = "202400", as_of=None,
@@ -370,7 +388,10 @@ def store_sales(t: Tables, prefix: str = "", *, buckets: int = 64) -> Tables:
 
 
 def publish_table(df: DataFrame, name: str = "BIOMED_SALES_QUERY") -> DataFrame:
-    """Publish a report as a catalog table that other sessions can read; an existing one is replaced."""
+    """Publish a report as a catalog table that other sessions can read; an existing one is replaced.
+
+    The rows are a snapshot; ``sales_view.publish_report_view`` keeps the SQL instead.
+    """
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
