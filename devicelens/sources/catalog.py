@@ -42,6 +42,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from devicelens.sources.ranges import bounds_sql, counts_sql, plan_reads
 from devicelens.sources.schema import typed
 
 LOGICAL_TABLES = {
@@ -135,14 +136,24 @@ def jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str], *,
     ``partitions`` maps a logical name to ``(column, lower, upper, n)`` for a
     parallel bulk read split into ``n`` ranges of a numeric column (without
     it a JDBC table is read by a single task, which only suits small
-    tables), e.g. ``{"events": ("EventId", 0, 10**10, 512)}``. Filters and
-    column pruning of the jobs are pushed into the generated SQL.
+    tables), e.g. ``{"events": ("EventId", 0, 10**10, 512)}``. With
+    ``(column, n)`` the database finds the bounds and counts its rows per key
+    range when the table is first used, and about ``n`` ranges of about equal
+    rows are read (``sources.ranges``). Filters and column pruning of the jobs
+    are pushed into the generated SQL.
     """
     partitions = dict(partitions or {})
     props = dict(properties)
 
     def reader(logical: str):
         table = f"{schema}.{LOGICAL_TABLES[logical]}"
+        if len(partitions.get(logical, ())) == 2:
+            column, n = partitions[logical]
+            ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **props).load()
+            return lambda: typed(spark.read.jdbc(url, table, properties=props, predicates=plan_reads(
+                column, n, lambda: tuple(ask(bounds_sql(table, column)).first()),
+                lambda low, width, high: [tuple(r) for r in ask(counts_sql(table, column, low, width, high)).collect()])),
+                logical, trim=trim)
         if logical in partitions:
             column, lower, upper, n = partitions[logical]
             return lambda: typed(spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper,
