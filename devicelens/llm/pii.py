@@ -136,11 +136,30 @@ def detect(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def redact(docs: DataFrame, *, least_score: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_spans, kinds``: documents with at least one span of that score."""
-    found = detect(docs, doc_id=doc_id, text=text)
+    """``doc_id, n_spans, kinds, text``: every document, its spans of that score replaced by ``[kind]``.
+
+    Overlapping spans are replaced together, by the kind that starts first
+    (then the longer one). A NULL text stays NULL; repeated rows are redacted
+    each; characters outside spans stay as they are.
+    """
+    # The text travels with its id, so rows that share an id keep their own.
+    found = detect(docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).alias("row"), F.col(text).alias("t")),
+                   doc_id="row", text="t")
     kept = F.filter("spans", lambda s: s["score"] >= least_score)
-    return (found.select("doc_id", F.size(kept).alias("n_spans"), F.array_distinct(F.transform(kept, lambda s: s["kind"])).alias("kinds"))
-            .where("n_spans > 0"))
+    rows = found.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.text").alias("t"), kept.alias("kept"))
+    ordered = F.array_sort(F.transform("kept", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
+
+    def step(state: Column, s: Column) -> Column:
+        end = -s["last"]
+        pieces = F.array(F.substring(F.col("t"), state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
+        return F.struct(F.when(s["start"] >= state["at"], F.concat(state["out"], pieces)).otherwise(state["out"]).alias("out"),
+                        F.greatest(state["at"], end).alias("at"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    clean = F.aggregate(ordered, start, step, lambda s: F.concat(F.concat_ws("", s["out"]), F.substring(F.col("t"), s["at"] + 1, F.length("t"))))
+    return rows.select("doc_id", F.size("kept").cast("long").alias("n_spans"),
+                       F.array_distinct(F.transform("kept", lambda s: s["kind"])).alias("kinds"),
+                       F.when(F.size("kept") == 0, F.col("t")).otherwise(clean).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,5 +77,27 @@ def test_no_python_in_the_plan(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def cover(text, spans):
+    """Spans replaced one character at a time: a covered run gives its first span's label."""
+    out, at = [], 0
+    for start, last, kind in sorted((s, -e, k) for k, s, e in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, -last)
+    return "".join(out) + text[at:]
+
+
+def test_redacted_text(make):
+    rows = [*((i, t) for i, t in enumerate(texts()) if len(t or "") < 1000), (3, "same id a@b.c"), (None, "𝒳 a@b.c 𝒳 1.2.3.4!"), (7, None)]
+    got = sorted(((r.doc_id, r.n_spans, r.text) for r in pii.redact(make(rows)).collect()), key=repr)
+    assert got == sorted(((i, len(brute(t)), t and cover(t, brute(t))) for i, t in rows), key=repr)
+    assert (None, 2, "𝒳 [email] 𝒳 [ip]!") in got and (7, 0, None) in got
+
+
+def test_redacts_by_score(make):
+    got = pii.redact(make([(1, "host 1.2.3.4 and plain words then nothing to see here 5.6.7.8")]), least_score=0.7).first()
+    assert got.text.startswith("host [ip] and") and got.text.endswith("5.6.7.8") and got.kinds == ["ip"]
+
+
 def test_empty_table(make):
     assert pii.detect(make([])).count() == 0
