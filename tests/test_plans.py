@@ -106,3 +106,14 @@ def test_date_range_reaches_a_stored_fact(spark, driver_t, tmp_path):
         spark.read.parquet(str(tmp_path / stored)).createOrReplaceTempView(stored)
     assert rows(catalog_tables(spark)) == rows(driver_t)
     assert rows(t) == sorted(map(str, S.gl_measures(t, lines=S.sales_lines(t, min_fiscal_month="199500", derive_date_range=False)).collect()))
+
+
+def test_deal_stands_below_the_calendar_and_the_sum_above_the_accounts(driver_t, no_broadcast):
+    p = plan(S.biomed_sales(driver_t, min_fiscal_month="199500", as_of="2025-03-03"))
+    join = lambda key: p.index(f"[{key}#")
+    dealt, summed = p.index("REPARTITION_BY_COL"), p.index("functions=[sum(LINES")
+    assert join("cal_id") < dealt < join("cus_id") < join("i_id") < summed < join("gls_id")
+    # The exchange for the names carries no column that follows from others.
+    named = p[p.index("Exchange hashpartitioning(BILL_TO_CUST_NUM"):]
+    named = named[named.index("HashAggregate("):].split("output=[")[1].split("]")[0]
+    assert "REF_NUM" in named and not [c for c in ("OTORDERNUM", "MSTR_GRP_NAME_TRIM", "PPPM_OR", "SLS_OEM_FEES") if c in named]
