@@ -26,5 +26,5 @@ def stored(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet to the session's shared folder; the folder written, for SQL that names its input."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path

@@ -36,6 +36,11 @@ class SqlSteps:
         kept = "" if where is None else " WHERE " + self._plan(frame.where(where)).condition().sql()
         self._add(name, f"SELECT {'DISTINCT ' if distinct else ''}{self._list(rows, 'projectList')} FROM {self._step(source)}{kept}", rows)
 
+    def union(self, name: str, first: str, second: str) -> None:
+        """All rows of two steps with the same columns."""
+        self._add(name, f"SELECT * FROM {self._step(first)} UNION ALL SELECT * FROM {self._step(second)}",
+                  self._frames[first].union(self._frames[second]))
+
     def aggregate(self, name: str, source: str, keys: Sequence[str], columns: Sequence[Column]) -> None:
         rows = self._frames[source].groupBy(*keys).agg(*columns)
         by = ", ".join(f"`{k}`" for k in keys)
@@ -66,6 +71,13 @@ class SqlSteps:
         by = ", ".join(f"`{k}`" for k in keys)
         self._add(name, f"SELECT /*+ REPARTITION({by}) */ * FROM {self._step(source)}", self._frames[source])
 
+    def spread(self, name: str, source: str, column: str, as_name: str) -> None:
+        """A row for each element of an array ``column``, one with NULL where it has none; the element comes last."""
+        frame = self._frames[source]
+        kept = [c for c in frame.columns if c != column]
+        self._add(name, f"SELECT {', '.join(f'`{c}`' for c in kept)}, explode_outer(`{column}`) AS `{as_name}` FROM {self._step(source)}",
+                  frame.select(*kept, F.explode_outer(column).alias(as_name)))
+
     def columns(self, name: str) -> list[str]:
         return self._frames[name].columns
 

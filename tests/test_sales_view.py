@@ -71,3 +71,23 @@ def test_steps_quote_texts_and_repeat_rows(spark, tmp_path):
     spark.sql("DROP VIEW STEPS_VIEW")
     with pytest.raises(ValueError, match="already"):
         v.select("out", "both", ["k"])
+
+
+def test_view_filters_lines_before_the_sum(spark, names):
+    """Lines of neither a biomed order nor a flagged account end before the first sum; names are spread last."""
+    text = W.biomed_sales_sql(spark, names, **OPTIONS)
+    order = [text.index(f"step_{s} AS (") for s in ("reportable", "booked", "summed", "itemised", "sold_to", "dealt", "dated", "report")]
+    assert order == sorted(order)
+    plan = spark.sql(text)._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("HashAggregate(")[0]
+    assert "explode(SPECIALISTS" in top and "Join" not in top
+
+
+def test_a_specialist_without_a_name_keeps_its_row(spark, driver_t, names, tmp_path):
+    managers = driver_t["account_managers"]
+    unnamed = F.when(F.col("DIM_ACCT_MGR_CURR_ID") % 2 == 0, F.col("ACCT_MGR_NAME"))
+    t = driver_t.override(account_managers=managers.withColumn("ACCT_MGR_NAME", unnamed))
+    as_text(t["account_managers"], "account_managers").write.parquet(str(tmp_path / "managers"))
+    text = W.biomed_sales_sql(spark, {**names, "account_managers": f"parquet.`{tmp_path}/managers`"}, **OPTIONS)
+    assert S.biomed_rep(t, as_of=OPTIONS["as_of"]).where("ACCT_MGR_NAME IS NULL").count() > 0
+    assert rows(spark.sql(text)) == rows(S.biomed_sales(t, with_uom_cost=False, **OPTIONS))
