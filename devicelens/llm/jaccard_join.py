@@ -235,21 +235,23 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
 
     # Groups: sets that agree in most min-hashes with the head of one of their buckets are
     # compared with it. This only finds links early; what it misses is found below.
-    keys = rows.select(F.col("row_id").alias("rep"), "n", "keys").join(near, "rep", "left_semi")
+    keys = materialize(rows.select(F.col("row_id").alias("rep"), "n", "keys").join(near, "rep", "left_semi"), "keys")
+    buckets = _buckets(keys)
     sets = links = grouped = tested = None
     for turn in range(STAR_ROUNDS):
-        stars = _stars(keys, links, grouped, turn, num, den)
+        stars = _stars(buckets, links, grouped, turn, num, den)
         if tested is None:
             stars = tested = materialize(stars, "stars")
             fetched = materialize(stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), "fetched")
             sets = _token_sets(docs, _classes(rep_of, fetched), n, doc_id, text)
-            keys = materialize(keys.join(fetched, "rep", "left_semi"), "keys")
+            buckets = _buckets(materialize(keys.join(fetched, "rep", "left_semi"), "keys"))
         else:
             stars = materialize(stars.join(tested, ["a", "b"], "left_anti"), "stars")
             tested = tested.unionByName(stars)
         found = _linked(stars, sets, num, den)
         links = found if links is None else links.unionByName(found)
         grouped = components(links, rounds=1 if turn + 1 < STAR_ROUNDS else None)
+    grouped = materialize(grouped, "grouped")
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     group_of = materialize(
         near.join(grouped.join(sizes, "component"), near["rep"] == F.col("node"), "left")
@@ -303,7 +305,8 @@ def similar_classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     joined = across.join(group_of.withColumnRenamed("rep", "b"), "b").select("a", "group").distinct()
     rest = qualified.select("a", "group", "block").join(best, ["a", "group", "block"], "left_anti").join(joined, ["a", "group"], "left_anti")
     across = across.unionByName(compared(rest))
-    merged = components(links.unionByName(across))
+    # The groups are the whole closure of the early links, so their stars stand for them.
+    merged = components(grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
 
     labelled = (rep_of.join(merged, rep_of["rep"] == F.col("node"), "left")
                 .select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
@@ -331,7 +334,19 @@ def _collapsed(held: DataFrame) -> DataFrame:
             .select("token", "times"))
 
 
-def _stars(keys: DataFrame, links: DataFrame | None, grouped: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
+def _buckets(keys: DataFrame) -> DataFrame:
+    """``keys`` of the sets that share a min-hash: ``rep, n, keys``, the sizes of their buckets in all, and a bit per shared min-hash.
+
+    Written once, so that drawing heads from it reads a table and not the
+    joins behind it again for each of its branches.
+    """
+    each = keys.select("rep", F.posexplode("keys").alias("i", "key"))
+    sizes = each.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    common = each.join(sizes, ["i", "key"]).groupBy("rep").agg(F.sum("size").alias("common"), F.bit_or(F.expr("shiftleft(1, i)")).alias("shared"))
+    return materialize(keys.join(common, "rep"), "buckets")
+
+
+def _stars(buckets: DataFrame, links: DataFrame | None, grouped: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` of a set and the head of one of its min-hash buckets, not in one group yet.
 
     Heads are drawn from the sets whose min-hashes are the most common in
@@ -340,21 +355,18 @@ def _stars(keys: DataFrame, links: DataFrame | None, grouped: DataFrame | None,
     and turns.
     """
     if links is None:
-        own = keys.select("rep", "n", "keys", F.col("rep").alias("own"), F.lit(0).cast("long").alias("degree"))
+        own = buckets.select("*", F.col("rep").alias("own"), F.lit(0).cast("long").alias("degree"))
     else:
         degree = links.groupBy(F.col("a").alias("rep")).agg(F.count_distinct("b").alias("degree"))
-        own = (keys.join(grouped, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
-               .select("rep", "n", "keys", F.coalesce("component", "rep").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree")))
-    buckets = own.select("rep", "n", "keys", "own", "degree", F.posexplode("keys").alias("i", "key"))
-    sizes = buckets.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = buckets.join(sizes, ["i", "key"])
-    common = buckets.groupBy("rep").agg(F.sum("size").alias("common"))
-    buckets = buckets.join(common, "rep")
+        own = (buckets.join(grouped, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
+               .select(*buckets.columns, F.coalesce("component", "rep").alias("own"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        own = materialize(own, "own")
+    each = own.select("*", F.posexplode("keys").alias("i", "key")).where("shared & shiftleft(1, i) <> 0")
     luck = 0.85 + F.pmod(F.xxhash64("rep", "i", F.lit(turn)), F.lit(1 << 20)) * (0.15 / (1 << 20))
     drawn = F.struct((-(1 + F.col("degree")) * F.col("common") * luck).alias("order"), "rep", "n", "keys", "own")
-    heads = buckets.groupBy("i", "key").agg(F.min(drawn).alias("head"))
+    heads = each.groupBy("i", "key").agg(F.min(drawn).alias("head"))
     agree = F.aggregate(F.zip_with("keys", "head.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
-    return (buckets.join(heads, ["i", "key"]).where((F.col("own") != F.col("head.own")) & (agree >= AGREEING))
+    return (each.join(heads, ["i", "key"]).where((F.col("own") != F.col("head.own")) & (agree >= AGREEING))
             .where(_sizes_allow(F.col("n"), F.col("n"), F.col("head.n"), F.col("head.n"), num, den))
             .select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct())
 

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from devicelens.llm import components as components_module
 from devicelens.llm import jaccard_join
+from devicelens.llm.common import materialize
 from devicelens.llm.components import components
 
 
@@ -109,3 +111,31 @@ def test_tokens_of_the_same_sets_are_one_row(spark):
                                               (4, 1, 3, True), (4, 3, 0, True)]]
     got = jaccard_join._collapsed(spark.createDataFrame(held, "token long, rep long, at int, short boolean")).collect()
     assert sorted((r.token, r.times) for r in got) == [(1, 2), (3, 1), (4, 1)]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(name, number of exchanges planned) of each table that is written."""
+    out = []
+
+    def recorded(df, name="step"):
+        out.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange")))
+        return materialize(df, name)
+
+    for module in (jaccard_join, components_module):
+        monkeypatch.setattr(module, "materialize", recorded)
+    return out
+
+
+def test_no_query_of_the_join_plans_a_step_again_in_each_branch(make, written):
+    # The driver holds all stages of a query at once, whatever the tables' size.
+    rows = list(enumerate(documents(1, 60)))
+    got = jaccard_join.join_components(make(rows), n=5, num=80, den=100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 5, 80, 100)
+    assert max(exchanges for _, exchanges in written) <= 20, written
+
+
+def test_links_that_are_stars_already_take_no_round(spark, written):
+    got = dict(components(spark.createDataFrame([(9, 1), (8, 1), (2, 7)], "a long, b long")).collect())
+    assert got == {1: 1, 8: 1, 9: 1, 2: 2, 7: 2} and [name for name, _ in written] == ["links"]
+    assert dict(components(spark.createDataFrame([], "a long, b long")).collect()) == {}
